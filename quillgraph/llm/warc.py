@@ -137,11 +137,11 @@ def records(file, wants: bool, fits) -> Iterator[tuple[dict[str, str], bytes | N
         while (head := data.find(b"\r\n\r\n")) < 0:  # 4096 bytes at a time
             data += inflate.decompress(rest, 4096)
             rest = inflate.unconsumed_tail
-            if not rest:
-                rest = b"" if inflate.eof else file.read(BLOCK)
+            if not rest and not inflate.eof:
+                rest = file.read(BLOCK)
                 fed += len(rest)
-                if not rest:
-                    raise ValueError(f"the record at byte {at} ends within its headers")
+            if not rest and b"\r\n\r\n" not in data:
+                raise ValueError(f"the record at byte {at} ends within its headers")
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[:head].decode("utf-8", "replace").split("\r\n")[1:])}
         good = fits(headers)
         if length is None or (good and wants):
