@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, url_rules, warc
+from . import host_rules, huffman, packing, url_rules, warc
 from .shards import ShardStore
 from .shared import new_path, ship_package
 
@@ -20,6 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; the file is on every machine, as the libraries are."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op2_huffman_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "tokens")
+    huffman.write_tokens(docs, path, tokenizer("word_bpe_49k.json"), end_id=2)
+    return huffman.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
@@ -43,7 +62,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_host_quality_rules, op5_warc_archive, op9_size_tiered_shards, op10_url_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op9_size_tiered_shards, op10_url_rules)
 }
 
 SQL = {
