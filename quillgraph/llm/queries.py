@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, packing, url_rules, warc
+from . import host_rules, huffman, min_max, packing, url_rules, warc
 from .shards import ShardStore
 from .shared import new_path, ship_package
 
@@ -48,6 +48,11 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op7_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return min_max.near_duplicates(docs, size=2, percent=80)
+
+
 def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, new_path(spark, "shards"), target_bytes=64 << 20, fan_in=4)
@@ -62,7 +67,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op9_size_tiered_shards, op10_url_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op9_size_tiered_shards, op10_url_rules)
 }
 
 SQL = {
