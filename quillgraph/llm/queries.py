@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, min_max, packing, url_rules, warc
+from . import host_rules, huffman, min_max, multi_index, packing, url_rules, warc
 from .shards import ShardStore
 from .shared import new_path, ship_package
 
@@ -53,6 +53,10 @@ def op7_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return min_max.near_duplicates(docs, size=2, percent=80)
 
 
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, new_path(spark, "shards"), target_bytes=64 << 20, fan_in=4)
@@ -67,7 +71,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op9_size_tiered_shards, op10_url_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op8_inverted_multi_index, op9_size_tiered_shards, op10_url_rules)
 }
 
 SQL = {
