@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, huffman, min_max, multi_index, packing, url_rules, warc
+from . import byte_cnn, host_rules, huffman, min_max, multi_index, packing, url_rules, warc
 from .shards import ShardStore
 from .shared import new_path, ship_package
 
@@ -39,6 +39,11 @@ def op2_huffman_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_cnn.quality_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), threshold=0.7)
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
@@ -71,7 +76,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op8_inverted_multi_index, op9_size_tiered_shards, op10_url_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op3_byte_cnn_quality, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op8_inverted_multi_index, op9_size_tiered_shards, op10_url_rules)
 }
 
 SQL = {
