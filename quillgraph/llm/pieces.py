@@ -44,9 +44,10 @@ C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 def uniform(key: np.ndarray, draw: int, unit: np.ndarray, step) -> np.ndarray:
     """In (0, 1): a hash of the four numbers."""
-    x = key * C1 + np.uint64(draw) * C2 + unit.astype(np.uint64) * C3 + np.uint64(step) * C4
-    for m in (C2, C4):
-        x = (x ^ (x >> np.uint64(31))) * m
+    with np.errstate(over="ignore"):
+        x = key * C1 + np.uint64(draw) * C2 + unit.astype(np.uint64) * C3 + np.uint64(step) * C4
+        for m in (C2, C4):
+            x = (x ^ (x >> np.uint64(31))) * m
     x ^= x >> np.uint64(29)
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
@@ -58,6 +59,26 @@ def truncated(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(place), np.minimum(g, most), -np.inf)
 
 
+class Grown:
+    """Numbers that are appended to while numpy views what was there before."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.new, self.held, self.n = kind, array(kind), np.empty(0, kind), 0
+
+    def __len__(self) -> int:
+        return self.n + len(self.new)
+
+    def view(self) -> np.ndarray:
+        size = len(self)
+        if size > len(self.held):
+            larger = np.empty(max(size, 2 * len(self.held)), self.kind)
+            larger[: self.n] = self.held[: self.n]
+            self.held = larger
+        self.held[self.n : size] = np.array(self.new, self.kind)
+        self.n, self.new = size, array(self.kind)
+        return self.held[:size]
+
+
 class Lattices:
     """Edges of the lattices of the units met so far, by node."""
 
@@ -84,8 +105,8 @@ class Lattices:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first = array("q", [0])  # of each node, its first edge; one more at the end
-        self.piece, self.to, self.chance, self.upto = array("i"), array("q"), array("d"), array("d")
+        self.first, self.piece, self.to, self.chance, self.upto = map(Grown, "qiqdd")
+        self.first.new.append(0)  # of each node, its first edge; one more at the end
 
     def add(self, unit: str) -> int:
         """The first node of ``unit``; nodes follow its characters, then those inside byte chains."""
@@ -112,11 +133,11 @@ class Lattices:
             here = len(self.first) - 1
             for k, (piece, to, w) in enumerate(node):
                 upto += w / total
-                self.piece.append(piece)
-                self.to.append(to)
-                self.chance.append(w / total)
-                self.upto.append(here + (1.0 if k + 1 == len(node) else min(upto, 1.0)))
-            self.first.append(len(self.piece))
+                self.piece.new.append(piece)
+                self.to.new.append(to)
+                self.chance.new.append(w / total)
+                self.upto.new.append(here + (1.0 if k + 1 == len(node) else min(upto, 1.0)))
+            self.first.new.append(len(self.piece))
         self.start[unit] = at
         return at
 
@@ -125,7 +146,7 @@ class Lattices:
         return np.array([known[u] if u in known else self.add(u) for u in units], np.int64)
 
     def views(self) -> tuple[np.ndarray, ...]:
-        return tuple(np.frombuffer(a, a.typecode) for a in (self.first, self.piece, self.to, self.chance, self.upto))
+        return tuple(a.view() for a in (self.first, self.piece, self.to, self.chance, self.upto))
 
 
 def _segment_best(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, host_rules, huffman, min_max, multi_index, packing, url_rules, warc
+from . import byte_cnn, host_rules, huffman, min_max, multi_index, packing, pieces, url_rules, warc
 from .shards import ShardStore
 from .shared import new_path, ship_package
 
@@ -53,6 +53,14 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = tokenizer("piece_bpe_32k.model")
+    drawn = pieces.sample(docs, model, k=3).withColumn("n_pieces", F.size("ids").cast("long")).withColumn("ids_hash", F.xxhash64("ids"))
+    spelt = pieces.decode(drawn, model)
+    return spelt.select("doc_id", "sample", "n_pieces", "ids_hash", "log_prob", "perturbed", "inclusion", (F.xxhash64("decoded") == F.col("text_hash")).alias("decodes"))
+
+
 def op7_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return min_max.near_duplicates(docs, size=2, percent=80)
@@ -76,7 +84,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op3_byte_cnn_quality, op4_host_quality_rules, op5_warc_archive, op7_min_max_near_duplicates, op8_inverted_multi_index, op9_size_tiered_shards, op10_url_rules)
+    f.__name__: f for f in (op1_best_fit_packing, op2_huffman_token_file, op3_byte_cnn_quality, op4_host_quality_rules, op5_warc_archive, op6_gumbel_segmentations, op7_min_max_near_duplicates, op8_inverted_multi_index, op9_size_tiered_shards, op10_url_rules)
 }
 
 SQL = {
