@@ -25,8 +25,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def texts(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The column as large_string, null as empty."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The column as large_string, null as empty. Its data are copied: ascii_lower misreads offsets that do not start at
+    zero, as a slice's do."""
+    own = batch.column(column).take(pa.array(np.arange(batch.num_rows)))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
