@@ -41,3 +41,14 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
     return now.union(now.select("b", "b")).distinct().toDF("id", "component")
+
+
+def extend(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` (id, component) after more ``links``, as a stage table; only links between different
+    components take part."""
+    at = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    moved = components(ends.where("a <> b"))
+    known = found.union(moved.select("id", "id")).distinct()
+    joined = known.join(moved.toDF("component", "_to"), "component", "left")
+    return stage(joined.select("id", F.coalesce("_to", "component").alias("component")).distinct(), "components")

@@ -8,9 +8,11 @@ buckets: at a similarity of 0.8 a pair shares none of them with a chance of 5e-6
 Documents with equal sets are one class, and classes alone enter buckets. No bucket is expanded into its pairs:
 
 1. each member is compared with the smallest of its bucket, and components of the links found are formed;
-2. members outside their bucket's largest component are compared with members of other components, in rounds over
-   growing ranges of the bucket, so that most are linked after a few comparisons; what is never linked has been
-   compared with every member of another component.
+2. members outside their bucket's largest component are compared with the first ``FEW`` members (of each share of a
+   large bucket), which links most of them;
+3. who is still outside is compared with every member of another component: buckets of more than ``FEW`` members are
+   cut into blocks of at most some ``BLOCK_SHINGLES`` shingles, two blocks meet in one task, which counts common
+   shingles through one sorted list, and gives only as many links as join their components.
 
 So every pair that shares a bucket is compared or already connected, whatever the bucket's size, and components are
 those of all links between pairs that share a bucket. Comparisons are of full sets of 64-bit shingle hashes.
@@ -34,12 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices, texts, words
-from .components import components
-from .shared import drop, stage
+from .components import components, extend
+from .shared import stage
 
 PERMUTATIONS, ROWS = 120, 6
 BANDS = 2 * PERMUTATIONS // ROWS
-RANGES = (4, 64, 1024, None)
+FEW = 8
+BLOCK_SHINGLES = 1 << 20
 SALT_ROWS = 10_000
 CACHED = 1 << 15  # shingles that are mapped together
 _random = np.random.default_rng(20240229)
@@ -159,53 +162,88 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     exploded = heads.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("bucket"))
     sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
     buckets = stage(exploded.join(sizes, "bucket"), "buckets")
-
-    close = lambda m, n: 100 * F.least(m, n) >= percent * F.greatest(m, n)  # noqa: E731  else the sizes alone rule a link out
-    pairs = stage(buckets.where((F.col("id") != F.col("first.id")) & close(F.col("n"), F.col("first.n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    pairs = stage(buckets.where((F.col("id") != F.col("first.id")) & _close(percent, "n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sets = stage(set_table(docs, buckets.select("id").distinct(), size, key, text), "sets").dropDuplicates(["id"])
-    links = stage(confirm(pairs, sets, percent), "found")
-    found = components(links)
-    low = 0
-    for high in RANGES:
-        more = stage(_further_pairs(buckets, found, pairs, low, high, close), "pairs")
-        if not more.isEmpty():
-            new = stage(confirm(more, sets, percent), "found")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = components(links)
-            pairs = pairs.unionByName(more)
-        if high is not None and not _unsettled(buckets.where(f"size > {high}"), found).limit(1).count():
-            break
-        low = high
+    found = components(stage(confirm(pairs, sets, percent), "found"))
+    for unsettled_links in (_links_to_few, _links_to_all):
+        unsettled = stage(_unsettled(buckets.select("bucket", "size", "id", "n"), found), "unsettled")
+        new = stage(unsettled_links(unsettled, pairs, sets, percent), "found")
+        if not new.isEmpty():
+            found = extend(found, new)
     joined = members.join(found.select(F.col("id").alias("class"), F.col("component").alias("_component")), "class", "left")
     whole = F.coalesce("_component", "class", "id")
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept"))
 
 
-def _placed(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with their component so far."""
-    return buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _close(percent: int, m: str, n: str):
+    """Whether sizes alone leave a link possible."""
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
 def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets of three members or more in two components or more, with the largest component."""
-    parts = _placed(buckets.where("size > 2"), found).groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    return parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("main"))
+    """Members, with their components so far, of buckets of three members or more that span two components or more;
+    main: the component most members are in."""
+    placed = buckets.where("size > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    mains = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("most")).where("parts > 1")
+    return placed.join(mains.select("bucket", F.col("most.component").alias("main")), "bucket")
 
 
-def _further_pairs(buckets: DataFrame, found: DataFrame, done: DataFrame, low: int, high: int | None, close) -> DataFrame:
-    """Pairs not compared yet of a member outside its bucket's main component and one of another component whose
-    place in the bucket, or in its share of a large bucket, is from ``low`` to before ``high``."""
-    placed = _placed(buckets, found).join(_unsettled(buckets, found), "bucket")
+def _links_to_few(unsettled: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside their bucket's main component to the first FEW of it, or of each share of it."""
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SALT_ROWS))
-    place = F.row_number().over(Window.partitionBy("bucket", "_salt").orderBy("id")) - 1
-    ranked = placed.withColumn("_salt", salt).withColumn("_place", place)
-    within = ranked.where((F.col("_place") >= low) & (F.lit(True) if high is None else F.col("_place") < high))
-    partners = within.select("bucket", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("component").alias("_component"))
-    outside = placed.where("component <> main").select("bucket", "id", "n", "component")
-    apart = (F.col("component") != F.col("_component")) & close(F.col("n"), F.col("_n"))
-    pairs = outside.join(partners, "bucket").where(apart).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("bucket", "_salt").orderBy("id"))
+    few = unsettled.withColumn("_salt", salt).withColumn("_place", place).where(F.col("_place") <= FEW)
+    partners = few.select("bucket", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("component").alias("_component"))
+    apart = (F.col("component") != F.col("_component")) & _close(percent, "n", "_n")
+    pairs = unsettled.where("component <> main").select("bucket", "id", "n", "component").join(partners, "bucket").where(apart)
+    named = pairs.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+    return confirm(stage(named.join(done, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+
+
+def _links_to_all(unsettled: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members outside their bucket's main component to any member; of each two components that a group of
+    blocks finds linked, directly or by others, as many links as join them."""
+    larger = unsettled.where(F.col("size") > FEW)
+    blocks = lambda n: F.ceil(F.coalesce(F.sum(n), F.lit(1)) / BLOCK_SHINGLES)
+    outside = F.when(F.col("component") != F.col("main"), F.col("n"))
+    sizes = larger.groupBy("bucket").agg(blocks(outside).alias("own_blocks"), blocks(F.col("n")).alias("all_blocks"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    full = larger.join(sizes, "bucket").join(sets, "id")
+    own = full.where("component <> main").withColumn("own", deal("own_blocks")).withColumn("other", every("all_blocks"))
+    other = full.withColumn("other", deal("all_blocks")).withColumn("own", every("own_blocks"))
+    keys, columns = ["bucket", "own", "other"], ["id", "component", "set"]
+    arrow = lambda df: df.select(*keys, *columns).toDF(*keys, *columns).groupBy(*keys)
+    return arrow(own).cogroup(arrow(other)).applyInArrow(lambda x, y: spanning_links(x, y, percent), "a long, b long")
+
+
+def spanning_links(own: pa.Table, other: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of rows of ``own`` with rows of ``other`` (id, component, set) that join components; every pair of
+    rows is compared by their full sets unless links found before join it already."""
+    first, second = [], []
+    if own.num_rows and other.num_rows:
+        y_id, y_sets = other["id"].to_numpy(), [np.frombuffer(v.as_buffer(), np.uint64) for v in other["set"]]
+        y_n = np.array([len(v) for v in y_sets])
+        flat, owner = np.concatenate(y_sets), np.repeat(np.arange(len(y_sets)), y_n)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        part = np.unique(np.concatenate([own["component"].to_numpy(), other["component"].to_numpy()]), return_inverse=True)[1]
+        for k, (x_id, cell) in enumerate(zip(own["id"].to_pylist(), own["set"], strict=True)):
+            x, y_part = np.frombuffer(cell.as_buffer(), np.uint64), part[own.num_rows :]
+            able = (y_part != part[k]) & (100 * np.minimum(len(x), y_n) >= percent * np.maximum(len(x), y_n))
+            if not able.any():
+                continue
+            low, high = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            lengths = high - low
+            at = np.repeat(low - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            common = np.bincount(owner[at], minlength=len(y_sets))
+            linked = np.flatnonzero(able & (100 * common >= percent * (len(x) + y_n - common)))
+            for j in linked[np.unique(y_part[linked], return_index=True)[1]].tolist():
+                first.append(min(x_id, int(y_id[j])))
+                second.append(max(x_id, int(y_id[j])))
+                part[part == part[own.num_rows + j]] = part[k]
+    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
