@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ from .arrow import slices, texts
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SLICE = 1 << 20
-MOST_EDGES = 6_000_000
+MOST_EDGES = 5_000_000  # a task's memory; forgotten beyond it, without a change of results
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
@@ -60,23 +60,58 @@ def truncated(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 class Grown:
-    """Numbers that are appended to while numpy views what was there before."""
+    """Numbers that are appended to; views of what was there before stay as they are."""
 
     def __init__(self, kind: str) -> None:
-        self.kind, self.new, self.held, self.n = kind, array(kind), np.empty(0, kind), 0
+        self.held, self.n = np.empty(1024, kind), 0
 
     def __len__(self) -> int:
-        return self.n + len(self.new)
+        return self.n
 
-    def view(self) -> np.ndarray:
-        size = len(self)
+    def extend(self, values: np.ndarray) -> None:
+        size = self.n + len(values)
         if size > len(self.held):
-            larger = np.empty(max(size, 2 * len(self.held)), self.kind)
+            larger = np.empty(max(size, 2 * len(self.held)), self.held.dtype)
             larger[: self.n] = self.held[: self.n]
             self.held = larger
-        self.held[self.n : size] = np.array(self.new, self.kind)
-        self.n, self.new = size, array(self.kind)
-        return self.held[:size]
+        self.held[self.n : size] = values
+        self.n = size
+
+    def view(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Trie:
+    """The vocabulary as a table of (node, character) to node; many walks advance together."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for spelling, entry in pieces.items():
+            at = 0
+            for c in spelling:
+                at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
+            ends[at] = entry
+        keys = np.array([a << 21 | c for a, c in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        self.piece, self.weight = np.full(len(nodes) + 1, -1, np.int32), np.zeros(len(nodes) + 1)
+        for at, (piece, weight) in ends.items():
+            self.piece[at], self.weight[at] = piece, weight
+
+    def matches(self, cp: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, piece, weight) of every piece found at any place of ``cp`` and before that place's end."""
+        alive, state, length, found = np.arange(len(cp)), np.zeros(len(cp), np.int64), 0, []
+        while len(alive):
+            key = state << 21 | cp[alive + length]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            alive, state, length = alive[hit], self.child[at[hit]], length + 1
+            whole = self.piece[state] >= 0
+            found.append((alive[whole], np.full(int(whole.sum()), length), self.piece[state[whole]], self.weight[state[whole]]))
+            inside = alive + length < end[alive]
+            alive, state = alive[inside], state[inside]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Lattices:
@@ -88,15 +123,17 @@ class Lattices:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.bytes_of = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(n) if model.is_byte(i)}
+        self.bytes_of = np.zeros(256, np.int32)
+        for i in range(n):
+            if model.is_byte(i):
+                self.bytes_of[int(model.id_to_piece(i)[1:-1], 16)] = i
         by_score = sorted(plain, key=lambda i: (-model.get_score(i), i))
-        self.weight = {model.id_to_piece(i): (i, (2.0 + rank) ** -alpha) for rank, i in enumerate(by_score)}
+        self.trie = Trie({model.id_to_piece(i): (i, (2.0 + rank) ** -alpha) for rank, i in enumerate(by_score)})
         self.rare = (2.0 + n) ** -alpha
-        self.prefixes = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
         raw = [b""] * n
         for i in plain:
             raw[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
-        for b, i in self.bytes_of.items():
+        for b, i in enumerate(self.bytes_of):
             raw[i] = bytes([b])
         self.spelt = np.frombuffer(b"".join(raw), np.uint8)
         self.spelt_length = np.array([len(r) for r in raw], np.int64)
@@ -105,50 +142,110 @@ class Lattices:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first, self.piece, self.to, self.chance, self.upto = map(Grown, "qiqdd")
-        self.first.new.append(0)  # of each node, its first edge; one more at the end
-
-    def add(self, unit: str) -> int:
-        """The first node of ``unit``; nodes follow its characters, then those inside byte chains."""
-        at, n, weight, prefixes = len(self.first) - 1, len(unit), self.weight, self.prefixes
-        log_sum, nodes, chains = [0.0] * (n + 1), [[] for _ in range(n + 1)], []
-        for i in range(n - 1, -1, -1):
-            reference, edges = log_sum[i + 1], nodes[i]
-            j = i + 1
-            while j <= n and (part := unit[i:j]) in prefixes:
-                if part in weight:
-                    piece, w = weight[part]
-                    edges.append((piece, at + j, w * math.exp(min(log_sum[j] - reference, 700.0))))
-                j += 1
-            if unit[i] not in weight:
-                spelt = [self.bytes_of[b] for b in unit[i].encode("utf-8", "surrogatepass")]
-                to = at + i + 1
-                for piece in reversed(spelt[1:]):
-                    chains.append((piece, to))
-                    to = at + n + len(chains)
-                edges.append((spelt[0], to, self.rare ** len(spelt)))
-            log_sum[i] = reference + math.log(sum(e[2] for e in edges))
-        for node in [*nodes[:n], [], *[[(piece, to, 1.0)] for piece, to in chains]]:
-            total, upto = sum(e[2] for e in node), 0.0
-            here = len(self.first) - 1
-            for k, (piece, to, w) in enumerate(node):
-                upto += w / total
-                self.piece.new.append(piece)
-                self.to.new.append(to)
-                self.chance.new.append(w / total)
-                self.upto.new.append(here + (1.0 if k + 1 == len(node) else min(upto, 1.0)))
-            self.first.new.append(len(self.piece))
-        self.start[unit] = at
-        return at
-
-    def starts(self, units: list[str]) -> np.ndarray:
+        self.first, self.piece, self.to, self.chance, self.upto = map(Grown, "iiidd")
+        self.first.extend(np.zeros(1, np.int32))  # of each node, its first edge; one more at the end
+
+    def add(self, units: list[str]) -> None:
+        """Add the lattices of distinct ``units``, not empty. A unit's nodes are its characters and its end, one after
+        another; the nodes inside byte chains follow those of all units."""
+        sizes = np.array([len(u) for u in units])
+        cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        unit = np.repeat(np.arange(len(units)), sizes)
+        end = np.cumsum(sizes)[unit]
+        source, length, piece, weight = self.trie.matches(cp, end)
+        alone = np.zeros(len(cp), bool)
+        alone[source[length == 1]] = True
+        lone = np.flatnonzero(~alone)
+        spelt = [chr(cp[c]).encode("utf-8", "surrogatepass") for c in lone.tolist()]
+        links = np.array([len(b) - 1 for b in spelt], np.int64)
+        source, length = np.concatenate([source, lone]), np.concatenate([length, np.ones(len(lone), np.int64)])
+        piece = np.concatenate([piece, self.bytes_of[[b[0] for b in spelt]]]) if spelt else piece
+        weight = np.concatenate([weight, self.rare ** (links + 1)])
+        node = np.arange(len(cp)) + unit
+        to = node[source] + length
+        n_nodes = len(cp) + len(units)
+        chain_first = n_nodes + np.cumsum(links) - links
+        into = np.flatnonzero(links) + len(source) - len(lone)
+        sum_to = to.copy()
+        to[into] = chain_first[links > 0]
+        order = np.argsort(source, kind="stable")
+        source, piece, weight, to, sum_to = (x[order] for x in (source, piece, weight, to, sum_to))
+        chance = self._chances(source, weight, node, sum_to, end - np.arange(len(cp)), n_nodes)
+        counts = np.bincount(node[source], minlength=n_nodes)
+        starts = np.cumsum(counts) - counts
+        run = np.cumsum(chance)
+        upto = run - (run[starts[node]] - chance[starts[node]])[source]
+        last = starts[node] + counts[node] - 1
+        upto = np.minimum(upto, 1.0)
+        upto[last] = 1.0
+        chain_node = n_nodes + np.arange(int(links.sum()))
+        chain_to = chain_node + 1
+        ends = (np.cumsum(links) - 1)[links > 0]
+        chain_to[ends] = node[lone[links > 0]] + 1
+        chain_piece = self.bytes_of[np.frombuffer(b"".join(b[1:] for b in spelt), np.uint8)]
+        base = len(self.first) - 1
+        self.first.extend(len(self.piece) + np.cumsum(np.concatenate([counts, np.ones(len(chain_node), np.int64)])))
+        self.piece.extend(np.concatenate([piece, chain_piece]))
+        self.to.extend(base + np.concatenate([to, chain_to]))
+        self.chance.extend(np.concatenate([chance, np.ones(len(chain_node))]))
+        self.upto.extend(base + np.concatenate([node[source] + upto, chain_node + 1.0]))
+        self.start.update(zip(units, (base + np.cumsum(sizes) - sizes + np.arange(len(units))).tolist(), strict=True))
+
+    @staticmethod
+    def _chances(source: np.ndarray, weight: np.ndarray, node: np.ndarray, to: np.ndarray, distance: np.ndarray, n_nodes: int) -> np.ndarray:
+        """Probability of each edge at its source: its weight times all that follows it, summed from the units' ends
+        backwards, all characters at one distance from their end together."""
+        log_sum, chance = np.zeros(n_nodes), np.empty(len(source))
+        far = distance[source]
+        by = np.argsort(far.astype(np.uint16) if far.max(initial=0) < 1 << 16 else far, kind="stable")
+        levels = np.flatnonzero(np.diff(far[by], prepend=0))
+        for low, high in zip(levels, [*levels[1:], len(by)], strict=True):
+            edges = by[low:high]
+            at = source[edges]
+            heads = np.flatnonzero(np.diff(at, prepend=-1))
+            here = node[at[heads]]
+            reference = log_sum[here + 1]
+            each = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(at)))
+            value = weight[edges] * np.exp(np.minimum(log_sum[to[edges]] - reference[each], 700.0))
+            total = np.add.reduceat(value, heads)
+            log_sum[here] = reference + np.log(total)
+            chance[edges] = value / total[each]
+        return chance
+
+    def starts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(first node of each unit of each text in order, units of each text)."""
+        row, code, units = _units(column)
         known = self.start
-        return np.array([known[u] if u in known else self.add(u) for u in units], np.int64)
+        new = [u for u in units if u not in known]
+        if new:
+            self.add(new)
+        at = np.array([known[u] for u in units], np.int64)
+        return at[code], np.bincount(row, minlength=len(column))
 
     def views(self) -> tuple[np.ndarray, ...]:
         return tuple(a.view() for a in (self.first, self.piece, self.to, self.chance, self.upto))
 
 
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text of each unit, its index among the distinct units, those). Where spaces stand alone between other
+    characters, Arrow splits; other texts are split one by one."""
+    odd = pc.match_substring_regex(column, f"^ |  | $|{SPACE}").to_numpy(zero_copy_only=False)
+    plain = np.flatnonzero(~odd)
+    lists = pc.split_pattern(column.take(pa.array(plain)), " ")
+    coded = lists.flatten().dictionary_encode()
+    row = np.repeat(plain, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    units = dict.fromkeys(SPACE + x for x in coded.dictionary.to_pylist())
+    if odd.any():
+        parts = [UNIT.findall((SPACE + column[int(k)].as_py()).replace(" ", SPACE)) for k in np.flatnonzero(odd)]
+        places = {u: k for k, u in enumerate(dict.fromkeys([*units, *(u for each in parts for u in each)]))}
+        row = np.concatenate([row, np.repeat(np.flatnonzero(odd), [len(x) for x in parts])])
+        code = np.concatenate([code, np.array([places[u] for each in parts for u in each], np.int64)])
+        order = np.argsort(row, kind="stable")
+        row, code, units = row[order], code[order], places
+    return row, code, list(units)
+
+
 def _segment_best(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The largest value of each (non-empty) segment and its first place."""
     best = np.maximum.reduceat(values, starts)
@@ -164,12 +261,10 @@ class Search:
     def __init__(self, lattices: Lattices, column: pa.Array, keys: np.ndarray) -> None:
         if len(lattices.piece) > MOST_EDGES:
             lattices.forget()
-        lists = [UNIT.findall((" " + t).replace(" ", SPACE)) for t in column.to_pylist()]
-        counts = np.array([len(x) for x in lists])
-        self.unit_start = lattices.starts([u for x in lists for u in x])
-        self.text = np.repeat(np.arange(len(lists)), counts)
+        self.unit_start, counts = lattices.starts(column)
+        self.text = np.repeat(np.arange(len(column)), counts)
         self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.keys, self.n = keys, len(lists)
+        self.keys, self.n = keys, len(column)
         self.first, self.piece, self.to, self.chance, self.upto = lattices.views()
         self.last_unit = np.cumsum(counts)
 
@@ -181,7 +276,7 @@ class Search:
         while len(live):
             unit = units[live]
             u = uniform(self.keys[self.text[unit]], draw, self.number[unit], step)
-            edge = np.searchsorted(self.upto, now + u, side="left")
+            edge = self._choose(now, u)
             edges.append(edge)
             owners.append(live)
             steps.append(np.full(len(live), step))
@@ -197,6 +292,15 @@ class Search:
         out[place], own[place] = edge, owner
         return out, own
 
+    def _choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node in whose share of 0 to 1 ``u`` lies."""
+        edge, target = self.first[nodes], nodes + u
+        low = np.flatnonzero(self.upto[edge] < target)
+        while len(low):
+            edge[low] += 1
+            low = low[self.upto[edge[low]] < target[low]]
+        return edge
+
     def priorities(self, edges: np.ndarray, units: np.ndarray, counts: np.ndarray, perturbed: np.ndarray, fresh: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability of each path, priority of the other edges at each node it passes from ``fresh`` on)."""
         log_p = np.log(self.chance[edges])
@@ -277,7 +381,7 @@ class Search:
             yield alive, edges, counts, log_p, best[alive]
 
     def _source(self, edge: int) -> int:
-        return int(np.searchsorted(self.first, edge, side="right")) - 1
+        return int(np.searchsorted(self.first, self.first.dtype.type(edge), side="right")) - 1
 
 
 _lattices: dict[tuple[str, float], Lattices] = {}
