@@ -38,6 +38,7 @@ from .arrow import slices, texts
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SLICE = 1 << 20
+IDS = 1 << 18
 MOST_EDGES = 5_000_000  # a task's memory; forgotten beyond it, without a change of results
 C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -409,14 +410,25 @@ def sample(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, key: str
                     with np.errstate(over="ignore"):
                         inclusion = np.where(np.isfinite(kappa[own]), -np.expm1(-np.exp(log_p - kappa[own])), 1.0)
                     ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(search.piece[edges], pa.int32()))
-                    rows = part.take(pa.array(own))
-                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.full(len(own), d), pa.int32()), ids, pa.array(log_p), pa.array(perturbed), pa.array(inclusion), rows.column(2)], [key, "sample", "ids", "log_prob", "perturbed", "inclusion", "text_hash"])
+                    places = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(places), pa.array(np.full(len(own), d), pa.int32()), ids, pa.array(log_p), pa.array(perturbed), pa.array(inclusion), part.column(2).take(places)], [key, "sample", "ids", "log_prob", "perturbed", "inclusion", "text_hash"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"`{key}` {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, text_hash long")
 
 
+def spell(store: Lattices, lists: pa.ListArray) -> list[str]:
+    """The text of each list of ids, without the space before it."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    lengths = store.spelt_length[flat]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    spelt = store.spelt[np.arange(total) + np.repeat(store.spelt_start[flat] - ends + lengths, lengths)].tobytes()
+    at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
+    return [spelt[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Replace ``ids`` by the text that its pieces spell."""
     kept = [c for c in rows.columns if c not in (ids, out)]
@@ -425,14 +437,13 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
         store = lattices(model, 1.0)
         for batch in batches:
             lists = batch.column(len(kept))
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            lengths = store.spelt_length[flat]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            spelt = store.spelt[np.arange(total) + np.repeat(store.spelt_start[flat] - ends + lengths, lengths)].tobytes()
-            at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
-            words = [spelt[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(words, pa.string())], [*kept, out])
+            upto = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # some IDS at a time, or one longer row
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + IDS, side="right")))
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(len(kept))], pa.array(spell(store, part.column(len(kept))), pa.string())], [*kept, out])
+                at = to
 
     schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept], f"`{out}` string"])
     return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`")).mapInArrow(run, schema)
