@@ -5,7 +5,7 @@ text. Two common kinds of file are taken apart at places where no token can reac
 chunks are found by Arrow, and only those are encoded:
 
 * byte-level BPE that splits as ``' ?letters| ?digits|...'``: before each space between two non-spaces;
-* BPE on words that drops white space: at ASCII white space.
+* BPE on words that drops white space: at ASCII white space, or into all pieces where plain characters leave no doubt.
 
 A chunk of plain Latin characters is split by an equal pattern and goes straight to the file's BPE model; any
 other goes to the library as it is. Other kinds of file are encoded text by text.
@@ -29,6 +29,8 @@ ANY_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a
 LATIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 SPACED = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNSPACED = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: Beyond these and without an apostrophe, pieces are runs of letters, runs of signs and single digits.
+PIECES_NOT_PLAIN = r"[^\x20-\x26\x28-\x7e\n\t\r\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]"
 #: Fixed by the two files' kind: their pre-tokenizers' patterns.
 SPACED_KIND = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 UNSPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -88,8 +90,19 @@ class TextEncoder:
         return flat, np.bincount(row, weights=lengths, minlength=n).astype(np.int64)
 
     def _unspaced(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        row, code, distinct = words(column)
-        return row, code, distinct.to_pylist()
+        """Texts of plain characters are split into pieces by Arrow, others at white space."""
+        odd = pc.match_substring_regex(column, PIECES_NOT_PLAIN).to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        parted = pc.replace_substring_regex(pc.utf8_lower(column.take(pa.array(plain))), r"([0-9]|[!-/:-@\[-`{-~]+)", r" \1 ")
+        row, code, distinct = words(parted)
+        chunks = distinct.to_pylist()
+        if not len(rest):
+            return plain[row], code, chunks
+        rest_row, rest_code, rest_distinct = words(column.take(pa.array(rest)))
+        row = np.concatenate([plain[row], rest[rest_row]])
+        code = np.concatenate([code, len(chunks) + rest_code])
+        order = np.argsort(row, kind="stable")
+        return row[order], code[order], chunks + rest_distinct.to_pylist()
 
     def _spaced(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         odd = pc.match_substring_regex(column, f"{ANY_SPACE} | {ANY_SPACE}").to_numpy(zero_copy_only=False)
@@ -126,6 +139,8 @@ class TextEncoder:
         return out
 
     def _ids(self, chunk: str) -> list[int]:
+        if chunk.isascii() and chunk.isalpha() and self.kind == "unspaced":
+            return [t.id for t in self.model.tokenize(chunk.lower())]
         if not LATIN.fullmatch(chunk):
             return self.tokenizer.encode(chunk, add_special_tokens=False).ids
         if self.kind == "unspaced":
