@@ -1,0 +1 @@
+"""Paths and terms."""

@@ -1,0 +1 @@
+"""Operators over graphs, each a composition of DataFrame operations."""

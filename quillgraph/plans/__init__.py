@@ -1,0 +1 @@
+"""Graph patterns as lazy DataFrame plans."""

@@ -1,0 +1 @@
+"""Readers of graph data."""

@@ -1,0 +1 @@
+"""Graph patterns over streams of triples."""
