@@ -23,7 +23,7 @@ from ..plans.graph import TripleGraph
 
 PREFIX = re.compile(r"(?:^|\n)\s*@?(?:prefix)\s+([\w.-]*):\s*<([^>]*)>\s*\.?\s*(?=\n|$)", re.IGNORECASE)
 TOKEN = re.compile(
-    r"""\s*(?:\#[^\n]*\s*)*(?:(?P<iri><[^>]*>)|(?P<text>\"{3}(?:[^\\]|\\.)*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]+))?
+    r"""\s*+(?:\#[^\n]*+\s*+)*+(?:(?P<iri><[^>]*>)|(?P<text>\"{3}(?:[^\\]|\\.)*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]+))?
     |(?P<blank>_:[\w.-]*\w)|(?P<name>[\w.-]*:(?:[\w%-]|\.(?=[\w%-]))*)|(?P<number>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<word>a|true|false)(?![\w:])|(?P<sign>[;,\[\]().]))""",
     re.VERBOSE | re.DOTALL,
 )
