@@ -78,7 +78,7 @@ _pattern("bgp_predicate_between", "p", [("nation:3", "?p", "nation:4")], f"SELEC
 _pattern("bgp_pair_scan", "o c", [("?o", "v:placedBy", "?c")], "SELECT s AS o, o AS c FROM plc")
 _pattern("bgp_chain_join", "c r", [("?c", PLACED, "?o"), ("?c", LOCATED, "?n"), ("?n", LOCATED, "?r")],
          "SELECT DISTINCT plc.o AS c, r.o AS r FROM plc JOIN loc n ON n.s = plc.o JOIN loc r ON r.s = n.o")
-_pattern("bgp_triangle", "o s p", [("?o", SUPPLIED, "?s"), ("?s", SUPPLIES, "?p"), ("?o", CONTAINS, "?p")],
+_pattern("bgp_triangle", "o s p", [("?o", SUPPLIED, "?s"), ("?o", CONTAINS, "?p"), ("?s", SUPPLIES, "?p")],
          "SELECT spb.s AS o, spb.o AS s, spl.o AS p FROM spb JOIN spl ON spl.s = spb.o JOIN ctn ON ctn.s = spb.s AND ctn.o = spl.o")
 _pattern("bgp_subject_predicate", "s p", [("?s", "?p", "region:2")], f"SELECT DISTINCT s, p FROM t WHERE o = '{REGION}2'")
 _pattern("bgp_predicate_object", "p o", [("customer:42", "?p", "?o")], f"SELECT DISTINCT p, o FROM t WHERE s = '{CUSTOMER}42'")
