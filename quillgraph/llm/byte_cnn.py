@@ -7,8 +7,8 @@ of spelling and repetition, the maximum finds one bad passage in a long text. A
 only through its neighbours, so it is a sum of table look-ups.
 
 Training: filters, hidden layer and output are learned together by Adam on a sample of at most ``SAMPLE`` labelled
-texts of each label, of which each step takes at most ``TRAIN_CHUNKS`` chunks, spread over the text. Scoring reads
-every byte; tasks hold a slice of a few megabytes and the weights (some 20 kB).
+texts of each label. A step reads every byte of its texts, as scoring does, and goes back through the chunks that hold a
+hidden unit's maximum, ``HIDDEN`` at most a text. Tasks hold a slice of a few megabytes and the weights (some 100 kB).
 
 Defined results: a null or empty text is one chunk of zero bytes and gets a score; equal texts get equal scores;
 without labels of both kinds the score is the share of label 1 (0.5 without any); labels with a null are left out.
@@ -29,7 +29,6 @@ from .arrow import slices
 WIDTH, FILTERS, HIDDEN = 4, 24, 16
 CHUNK = 256
 SAMPLE = 1_000
-TRAIN_CHUNKS = 8
 EPOCHS, STEP_TEXTS, RATE = 9, 16, 0.01
 
 
@@ -85,7 +84,7 @@ def score(net: Network, raws: list[bytes]) -> np.ndarray:
     return out
 
 
-PIECE = 1 << 15
+PIECE = 1 << 13
 
 
 def _halves(net: Network, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +109,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
         random.normal(0, 0.4, (2 * FILTERS + 1, HIDDEN)).astype(np.float32),
         random.normal(0, 0.4, HIDDEN + 1).astype(np.float32),
     )
-    half, data = CHUNK // 2, [padded(t) for t in texts]
+    data = [padded(t) for t in texts]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.tables, net.hidden, net.output)]
     step = 0
@@ -121,7 +120,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
             grads = [np.zeros_like(p) for p in (net.tables, net.hidden, net.output)]
             batch = order[first : first + STEP_TEXTS]
             for k in batch:
-                _gradient(net, data[k], labels[k], weight[k] / len(batch), grads, half, random)
+                _gradient(net, data[k], labels[k], weight[k] / len(batch), grads)
             step += 1
             for p, g, (m, v) in zip((net.tables, net.hidden, net.output), grads, moments, strict=True):
                 m += 0.1 * (g - m)
@@ -130,15 +129,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Network:
     return net
 
 
-def _gradient(net: Network, data: np.ndarray, label: int, weight: float, grads: list[np.ndarray], half: int, random) -> None:
-    """Add the gradient of one text's loss, on a run of its chunks."""
-    chunks = (len(data) - WIDTH + 1) // half - 1
-    if chunks > TRAIN_CHUNKS:
-        at = int(random.integers(0, chunks - TRAIN_CHUNKS + 1)) * half
-        data = data[at : at + (TRAIN_CHUNKS + 1) * half + WIDTH - 1]
-    r = net.responses(data)
-    by_half = r.reshape(-1, half, FILTERS)
-    features = chunk_features(net, by_half.sum(1), by_half.max(1))
+def _gradient(net: Network, data: np.ndarray, label: int, weight: float, grads: list[np.ndarray]) -> None:
+    """Add the gradient of one text's loss: forward over the whole text, back through each hidden unit's best chunk."""
+    half, every = CHUNK // 2, np.arange(FILTERS)
+    features = chunk_features(net, *_halves(net, [data]))
     hidden = features @ net.hidden
     best = hidden.argmax(0)
     top = np.maximum(hidden[best, np.arange(HIDDEN)], 0)
@@ -147,20 +141,23 @@ def _gradient(net: Network, data: np.ndarray, label: int, weight: float, grads:
     grads[2][:-1] += d * top
     grads[2][-1] += d
     d_top = d * net.output[:-1] * (top > 0)
-    d_features = np.zeros_like(features)
-    for u in np.flatnonzero(d_top):
-        grads[1][:, u] += d_top[u] * features[best[u]]
-        d_features[best[u]] += d_top[u] * net.hidden[:, u]
-    d_r, every = np.zeros_like(r), np.arange(FILTERS)
-    for c in np.unique(best[d_top != 0]):
-        place = slice(c * half, c * half + CHUNK)
-        d_r[place] += d_features[c, :FILTERS] / CHUNK
-        d_r[c * half + r[place].argmax(0), every] += d_features[c, FILTERS : 2 * FILTERS] * np.float32(0.25)
-    some = np.flatnonzero(d_r.any(1))
-    d_r = (d_r[some] * (r[some] > 0)).reshape(-1)
+    used = np.flatnonzero(d_top)
+    if not len(used):
+        return
+    grads[1][:, used] += features[best[used]].T * d_top[used]
+    chunks, at = np.unique(best[used], return_inverse=True)
+    d_features = np.zeros((len(chunks), features.shape[1]), np.float32)
+    np.add.at(d_features, at, (net.hidden[:, used] * d_top[used]).T)
+    parts = data[(chunks * half)[:, None] + np.arange(CHUNK + WIDTH - 1)]
+    r = sum(net.tables[k].take(parts[:, k : k + CHUNK], 0) for k in range(WIDTH))
+    d_r = np.repeat(d_features[:, None, :FILTERS] / CHUNK, CHUNK, 1)
+    d_r[np.arange(len(chunks))[:, None], r.argmax(1), every] += d_features[:, FILTERS : 2 * FILTERS] * np.float32(0.25)
+    d_r = (d_r * (r > 0)).reshape(-1, FILTERS)
     for k in range(WIDTH):
-        at = data[some + k].astype(np.int64)[:, None] * FILTERS + every
-        grads[0][k] += np.bincount(at.reshape(-1), d_r, 256 * FILTERS).reshape(256, FILTERS)
+        values = parts[:, k : k + CHUNK].reshape(-1)
+        order = np.argsort(values, kind="stable")
+        starts = np.flatnonzero(np.diff(values[order], prepend=-1))
+        grads[0][k][values[order[starts]]] += np.add.reduceat(d_r[order], starts, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:

@@ -124,6 +124,44 @@ def test_classifier_edges(docs):
     assert byte_cnn.quality_scores(docs, one).count() == len(ROWS)
 
 
+def passages(n, seed, size=20_000):
+    """Texts of letters; every second one holds 300 bytes of signs somewhere and has label 0."""
+    random, texts_ = np.random.default_rng(seed), []
+    for k in range(n):
+        body = random.choice(list(b"abcdefgh "), size).astype(np.uint8)
+        if k % 2 == 0:
+            at = int(random.integers(0, size - 300))
+            body[at : at + 300] = random.choice(list(b"#$%&"), 300)
+        texts_.append(body.tobytes())
+    return texts_, np.arange(n) % 2
+
+
+def test_classifier_learns_from_whole_texts():
+    """A short passage in a long text decides its label, wherever it is."""
+    net = byte_cnn.train(*passages(60, 1))
+    fresh, labels = passages(40, 2)
+    assert ((byte_cnn.score(net, fresh) >= 0.5) == labels).mean() >= 0.9
+
+
+def test_classifier_gradient_is_of_the_whole_text():
+    """Against differences of the loss that score() gives, with the passages that decide far apart."""
+    random = np.random.default_rng(5)
+    f64 = lambda *shape: random.normal(0, 0.3, shape)
+    net = byte_cnn.Network(f64(byte_cnn.WIDTH, 256, byte_cnn.FILTERS), f64(2 * byte_cnn.FILTERS + 1, byte_cnn.HIDDEN), f64(byte_cnn.HIDDEN + 1))
+    raw = random.integers(0, 256, 6_000).astype(np.uint8).tobytes()
+    params = (net.tables, net.hidden, net.output)
+    grads = [np.zeros_like(p) for p in params]
+    byte_cnn._gradient(net, byte_cnn.padded(raw), 1, 1.0, grads)
+    for p, g in zip(params, grads, strict=True):
+        for at in np.argsort(-np.abs(g).reshape(-1))[:5]:
+            place, loss = np.unravel_index(at, p.shape), []
+            for step in (1e-5, -1e-5):
+                p[place] += step
+                loss.append(-math.log(byte_cnn.score(net, [raw])[0]))
+                p[place] -= step
+            assert g[place] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-3, abs=1e-6)
+
+
 def test_rules_edges(docs):
     got = {r["doc_id"]: r for r in host_rules.judge(docs).collect()}
     assert got[1]["n_words"] == 0 and got[5]["n_repeat_words"] == 5000 and not any(r["kept"] for r in got.values())
