@@ -168,6 +168,19 @@ def test_rules_edges(docs):
     assert host_rules.keep_good(docs.where("false")).columns == docs.columns
 
 
+def test_rules_go_by_row(spark):
+    """A clean row stays when another row under its key, or its null key, is rejected; hosts lose all their rows."""
+    ship_package(spark)
+    clean, bad = " ".join(f"w{k}" for k in range(80)), "w " * 80
+    made = [(None, clean, "en", "h", 1, "a"), (None, bad, "en", "h", 2, "b"), (7, clean, "en", "h", 3, "c"), (7, bad, "en", "h", 4, "d"), (8, clean, None, None, 5, None)]
+    made += [(k, clean, "en", "h", k, "e") for k in range(10, 20)] + [(k, clean if k == 20 else bad, "en", "worse", k, "f") for k in range(20, 40)]
+    df = spark.createDataFrame(made, SCHEMA).withColumn("n_words", F.lit("own"))
+    got = host_rules.keep_good(df)
+    assert got.columns == df.columns and got.schema.simpleString() == df.schema.simpleString()
+    wanted = [(*r, "own") for r in made if r[1] == clean and r[3] != "worse"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
+
+
 def test_slices_keep_words():
     column = pa.array([f"Ab{k} Cd" * (k % 7) for k in range(200)] + [None])
     batch = pa.RecordBatch.from_arrays([column], ["t"])
