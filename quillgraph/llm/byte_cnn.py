@@ -161,9 +161,10 @@ def _gradient(net: Network, data: np.ndarray, label: int, weight: float, grads:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on at most ``sample`` texts of each label, in the order of a hash of their ids. The ids of that sample,
-    a bounded number, are sent to the tasks that read the texts."""
-    fine = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Train on at most ``sample`` texts of each label, in the order of a hash of their ids, among labels of ids that
+    ``docs`` has. The ids of that sample, a bounded number, are sent to the tasks that read the texts."""
+    there = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    fine = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(there, "doc_id", "left_semi")
     picked = fine.where("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(fine.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "quality").toPandas()
     return train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy())

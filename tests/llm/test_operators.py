@@ -162,6 +162,13 @@ def test_classifier_gradient_is_of_the_whole_text():
             assert g[place] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-3, abs=1e-6)
 
 
+def test_classifier_samples_labels_of_its_documents(spark):
+    """Most labels are of other documents; both kinds are found among those that are there."""
+    labels = spark.range(5_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    docs = spark.range(4_000, 4_006).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert byte_cnn.fit(docs, labels, sample=2).trained
+
+
 def test_rules_edges(docs):
     got = {r["doc_id"]: r for r in host_rules.judge(docs).collect()}
     assert got[1]["n_words"] == 0 and got[5]["n_repeat_words"] == 5000 and not any(r["kept"] for r in got.values())
