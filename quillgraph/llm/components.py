@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, stage
+from ..session import drop, stage
 
 
 def _state(links: DataFrame) -> tuple:

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import drop, stage
 from .arrow import slices, texts
-from .shared import drop, stage
 from .tokens import binary_rows, encoder, with_end
 
 STRIDE = 256

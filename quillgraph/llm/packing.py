@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .arrow import slices, texts
-from .shared import stage
 from .tokens import binary_rows, encoder, with_end
 
 BUCKET_ROWS = 50_000

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path, ship_package
 from . import byte_cnn, host_rules, huffman, min_max, multi_index, packing, pieces, url_rules, warc
 from .shards import ShardStore
-from .shared import new_path, ship_package
 
 #: Fixed by op10's contract: (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
