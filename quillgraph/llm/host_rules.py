@@ -4,14 +4,14 @@ Each document gets counts and fails the base rules or not. A host's failures are
 shrunk towards all hosts' rates by a beta prior fitted to those rates (method of moments), and a host whose
 shrunk rate exceeds ``max_rate`` loses all its documents.
 
-The text is read once, by a function over Arrow batches whose sorts and counts run on whole batches. ``judge`` writes
-the slim counts to a stage table, ``keep_good`` each whole row with its base verdict; from it both the hosts' sums
-(partial sums in each task first) and the join with hosts read. A host with any share of the rows is one row in the
-join's other side.
+The text is read by a function over Arrow batches whose sorts and counts run on whole batches. ``judge`` writes the
+slim counts to a stage table. ``keep_good`` reads texts twice, for the hosts' sums and for the rows, and neither writes
+nor moves them between tasks. Sums are partial sums in each task first; a host with any share of the rows is one row
+in the join's other side.
 
 Defined results: a null or empty text has no words and fails; a null host has no verdict, so its documents
 are judged by the base rules alone; repeated rows count each; an empty table gives an empty result; columns
-named like a result are replaced, all others are carried along only by ``keep_good``.
+of ``judge`` named like a result are replaced; ``keep_good`` carries all columns along.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import stage
 from .arrow import slices, texts, words
-from .shared import stage
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
@@ -65,11 +65,11 @@ def _times_inside(same: np.ndarray, inside: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(same[inside], minlength=n)[same]
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], keep_text: bool = False) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             counts = text_counts(texts(part, "text"))
-            kept = [c for c in part.schema.names if c != "text" or keep_text]
+            kept = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *map(pa.array, counts.values())], [*kept, *counts])
 
 
@@ -80,8 +80,9 @@ def document_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("text")).mapInArrow(_count_batches, schema)
 
 
-def base_failed(min_words: int = 50, max_repeat_percent: int = 50):
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+def base_failed(n_words, n_repeat_words, min_words: int = 50, max_repeat_percent: int = 50):
+    """The base verdict, of columns or of arrays."""
+    return (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -97,10 +98,14 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_rates(judged: DataFrame, host: str) -> DataFrame:
-    """(_host, host_rate) of each host that is not null."""
+def host_sums(judged: DataFrame, host: str) -> DataFrame:
+    """(_host, n, failed) of each host that is not null."""
     name = F.col(f"`{host}`")
-    hosts = judged.where(name.isNotNull()).groupBy(name.alias("_host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("failed"))
+    return judged.where(name.isNotNull()).groupBy(name.alias("_host")).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("int")).alias("failed"))
+
+
+def host_rates(hosts: DataFrame) -> DataFrame:
+    """(_host, host_rate) of hosts (_host, n, failed)."""
     a, b = beta_prior(hosts)
     return hosts.select("_host", ((F.col("failed") + a) / (F.col("n") + a + b)).alias("host_rate"))
 
@@ -108,19 +113,28 @@ def host_rates(judged: DataFrame, host: str) -> DataFrame:
 def judge(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """``df`` without the text, with COUNTS, base_failed, host_rate (shrunk) and kept."""
     counts = document_counts(df, text).drop("base_failed", "host_rate", "kept")
-    judged = stage(counts.withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "rules")
-    joined = judged.join(rates := host_rates(judged, host), judged[f"`{host}`"] == rates["_host"], "left").drop("_host")
+    judged = stage(counts.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent)), "rules")
+    joined = judged.join(rates := host_rates(host_sums(judged, host)), judged[f"`{host}`"] == rates["_host"], "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= max_rate))
 
 
-def keep_good(docs: DataFrame, max_rate: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Each row goes by its own verdict, whatever its
-    key: rows are staged whole beside it, and only the hosts that lose their documents are joined."""
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    whole = docs.select(others.alias("_row"), F.col("source").alias("_source"), "text")
-    schema = StructType([*whole.schema, *[StructField(c, LongType()) for c in COUNTS]])
-    counts = whole.mapInArrow(lambda batches: _count_batches(batches, keep_text=True), schema)
-    judged = stage(counts.select("_row", "_source", "text", base_failed(min_words, max_repeat_percent).alias("base_failed")), "rules")
-    gone = stage(host_rates(judged, "_source").where(F.col("host_rate") > max_rate).select("_host"), "hosts")
-    kept = judged.where(~F.col("base_failed")).join(gone, F.col("_source") == F.col("_host"), "left_anti")
-    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    key; only the hosts that lose their documents are joined."""
+    hosts = docs.select(F.col(f"`{host}`").alias("_host"), F.col(f"`{text}`").alias("text"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent)
+    judged = document_counts(hosts).select("_host", failed.alias("base_failed"))
+    sums = stage(host_sums(judged, "_host"), "hosts")
+    gone = host_rates(sums).where(F.col("host_rate") > max_rate).select("_host")
+    at = docs.columns.index(text)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{k}" for k in range(batch.num_columns)])
+            for part in slices(batch, f"c{at}"):
+                n = text_counts(texts(part, f"c{at}"))
+                yield pa.RecordBatch.from_arrays(part.filter(pa.array(~base_failed(n["n_words"], n["n_repeat_words"], min_words, max_repeat_percent))).columns, docs_columns)
+
+    docs_columns = docs.columns
+    kept = docs.mapInArrow(good, docs.schema)
+    return kept.join(gone, kept[f"`{host}`"] == gone["_host"], "left_anti")
