@@ -5,11 +5,12 @@ smallest and the largest of the mapped shingles, so a signature costs half as ma
 values of two documents agree with a chance equal to their sets' Jaccard similarity. Bands of ``ROWS`` values are
 buckets: at a similarity of 0.8 a pair shares none of them with a chance of 5e-6.
 
-Documents with equal sets are one class, and classes alone enter buckets. No bucket is expanded into its pairs:
+Documents with equal sets are one class, with a number of its own, and classes alone enter buckets. No bucket is
+expanded into its pairs:
 
 1. each member is compared with the smallest of its bucket, and components of the links found are formed;
-2. members outside their bucket's largest component are compared with the first ``FEW`` members (of each share of a
-   large bucket), which links most of them;
+2. members outside their bucket's largest component are compared with the first ``FEW`` members of the bucket, which
+   links most of them;
 3. who is still outside is compared with every member of another component: buckets of more than ``FEW`` members are
    cut into blocks of at most some ``BLOCK_SHINGLES`` shingles, two blocks meet in one task, which counts common
    shingles through one sorted list, and gives only as many links as join their components.
@@ -17,12 +18,15 @@ Documents with equal sets are one class, and classes alone enter buckets. No buc
 So every pair that shares a bucket is compared or already connected, whatever the bucket's size, and components are
 those of all links between pairs that share a bucket. Comparisons are of full sets of 64-bit shingle hashes.
 
-Every exchange is by document, pair, bucket or bucket and salt; adaptive execution splits joins on hot keys, hot sets
-and buckets are aggregated in their tasks first. Nothing but counts reaches the driver.
+Texts are read three times at most and moved by hash joins on (key, hash of the text) whose other side is slim: once
+for the sets of classes that share a bucket, once in ``keep_first``. Every other exchange is by class, pair, bucket or
+bucket and salt; adaptive execution splits joins on hot keys, hot sets and buckets are aggregated in their tasks
+first. Nothing but counts reaches the driver.
 
 Defined results: null or empty text and text without words have no shingles and are linked with nothing; texts with
-fewer words than a shingle are one shingle; rows with one key are one document, their first class; a null key stays
-a row of its own with a null component; other columns do not matter.
+fewer words than a shingle are one shingle. A row is a document, whatever its key: rows that repeat a key with other
+texts are compared each. A component is named by its smallest key that is not null, or by null without one; a key
+may have any type that can be ordered. ``keep_first`` keeps one row of a component, and all rows without shingles.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import drop, stage
 from .arrow import slices, texts, words
 from .components import components, extend
-from .shared import stage
 
 PERMUTATIONS, ROWS = 120, 6
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -105,8 +109,14 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _mark(text: Column):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, n, print, bands): the set's size, a 128-bit hash of it and its bands; none for an empty set."""
+    """(id, mark, n, print, bands): a hash of the text, the set's size, a 128-bit hash of it and its bands; none for an
+    empty set."""
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _mark(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,22 +127,25 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 values = bands([sets[k] for k in some]).astype(np.int64).reshape(-1)
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 prints = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), prints, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "n", "print", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), prints, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "mark", "n", "print", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).mapInArrow(run, "id long, n long, print binary, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, mark long, n long, print binary, bands array<long>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, set) of the documents with these ids: sorted 64-bit hashes."""
+def set_table(docs: DataFrame, classes: DataFrame, size: int, key: str, text: str) -> DataFrame:
+    """(id, set): the sorted 64-bit hashes of each of ``classes`` (class, print, first), once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 sets = [s.tobytes() for s in shingle_sets(texts(part, "_text"), size)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+                same = [xxhash.xxh3_128_digest(s) == p for s, p in zip(sets, part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"]).filter(pa.array(same))
 
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, set binary")
+    rows = docs.select(F.col(f"`{key}`").alias("_id"), _mark(F.col(f"`{text}`")).alias("_mark"), F.col(f"`{text}`").alias("_text"))
+    wanted = classes.select("class", "print", "first").hint("shuffle_hash")
+    found = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_mark") == F.col("first.mark")))
+    return found.select("class", "print", "_text").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,27 +165,40 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each document."""
+def placed_rows(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """(id, mark, n, head) of each row; head: (none, id, mark) of the first row of its component, null without shingles."""
     signed = stage(signatures(docs, size, key, text), "signatures")
-    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("class"))
-    members = signed.select("id", "n", "print").join(classes, "print", "left").select("id", "n", "class")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    sets_once = signed.where("n > 0").groupBy("print").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stage(sets_once.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    heads = signed.where("n > 0").join(classes.select(F.col("print").alias("_print"), "class"), (F.col("print") == F.col("_print")) & (F.col("id") == F.col("class")))
-    exploded = heads.dropDuplicates(["id"]).select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("first")).where("size > 1")
+    exploded = classes.select(F.col("class").alias("id"), "n", F.explode("bands").alias("bucket"))
+    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.min_by("n", "id").alias("first_n")).where("size > 1")
     buckets = stage(exploded.join(sizes, "bucket"), "buckets")
-    pairs = stage(buckets.where((F.col("id") != F.col("first.id")) & _close(percent, "n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    sets = stage(set_table(docs, buckets.select("id").distinct(), size, key, text), "sets").dropDuplicates(["id"])
+    pairs = stage(buckets.where((F.col("id") != F.col("first_id")) & _close(percent, "n", "first_n")).select(F.col("first_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    shared = classes.join(buckets.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
+    sets = stage(set_table(docs, shared, size, key, text), "sets")
     found = components(stage(confirm(pairs, sets, percent), "found"))
     for unsettled_links in (_links_to_few, _links_to_all):
         unsettled = stage(_unsettled(buckets.select("bucket", "size", "id", "n"), found), "unsettled")
         new = stage(unsettled_links(unsettled, pairs, sets, percent), "found")
         if not new.isEmpty():
             found = extend(found, new)
-    joined = members.join(found.select(F.col("id").alias("class"), F.col("component").alias("_component")), "class", "left")
-    whole = F.coalesce("_component", "class", "id")
-    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept"))
+        drop(unsettled)
+
+    linked = classes.select("print", "first", "class").join(found.toDF("class", "component"), "class")
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    placed = stage(linked.join(heads, "component").select(F.col("print").alias("_print"), "head"), "heads")
+    firsts = classes.select("print", "first").join(placed, F.col("print") == F.col("_print"), "left").select("print", F.coalesce("head", "first").alias("head"))
+    drop(buckets, pairs, sets)
+    return signed.select("id", "mark", "n", "print").join(firsts, "print", "left").select("id", "mark", "n", "head")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id, kept) of each row."""
+    whole = F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head.id"))
+    rows = placed_rows(docs, size, percent, key, text)
+    return rows.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.col("id").eqNullSafe(whole).alias("kept"))
 
 
 def _close(percent: int, m: str, n: str):
@@ -190,10 +216,12 @@ def _unsettled(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _links_to_few(unsettled: DataFrame, done: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of members outside their bucket's main component to the first FEW of it, or of each share of it."""
+    """Links of members outside their bucket's main component to the first FEW of it, which the first FEW of each share
+    of it contain."""
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SALT_ROWS))
-    place = F.row_number().over(Window.partitionBy("bucket", "_salt").orderBy("id"))
-    few = unsettled.withColumn("_salt", salt).withColumn("_place", place).where(F.col("_place") <= FEW)
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    shares = unsettled.withColumn("_salt", salt).withColumn("_place", place("bucket", "_salt")).where(F.col("_place") <= FEW)
+    few = shares.withColumn("_place", place("bucket")).where(F.col("_place") <= FEW)
     partners = few.select("bucket", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("component").alias("_component"))
     apart = (F.col("component") != F.col("_component")) & _close(percent, "n", "_n")
     pairs = unsettled.where("component <> main").select("bucket", "id", "n", "component").join(partners, "bucket").where(apart)
@@ -247,6 +275,16 @@ def spanning_links(own: pa.Table, other: pa.Table, percent: int) -> pa.Table:
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component."""
-    gone = near_duplicates(docs.select(key, text), size, percent, key, text).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """One row of ``docs`` of each component, one with its smallest key, and all rows without shingles."""
+    rows = stage(placed_rows(docs.select(key, text), size, percent, key, text).where("n > 0"), "rows")
+    stays = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark"))
+    gone = rows.where(~stays).select("id", "mark").distinct()
+    again = rows.where(stays).groupBy("id", "mark").count().where("count > 1").select("id", "mark")
+
+    def joined(named: DataFrame, how: str) -> DataFrame:
+        slim = named.hint("shuffle_hash")
+        return docs.join(slim, docs[f"`{key}`"].eqNullSafe(slim["id"]) & (_mark(docs[f"`{text}`"]) == slim["mark"]), how)
+
+    if again.isEmpty():
+        return joined(gone, "left_anti")
+    return joined(gone.union(again), "left_anti").union(joined(again, "left_semi").dropDuplicates([key, text]))
