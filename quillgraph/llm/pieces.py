@@ -7,15 +7,19 @@ No piece holds a space after another character, so the lattice of a text is a ch
 and what follows them); a unit's backward sums, which turn weights into exact probabilities of each next edge, are
 computed once a distinct unit.
 
-Gumbel top-k by a perturbed A* search. The frontier holds sets of segmentations: a prefix and the edges still open
-after it. A set's priority is its perturbed log-probability, the maximum over its members; popping the largest
-fixes one member, whose path follows the edge that attains the maximum at every node and keeps the set's priority,
-and returns to the frontier, for every node passed, the set of the other edges with a priority drawn from the Gumbel
-law truncated at the popped one. Complete paths leave the search in falling order of priority: k draws without
-replacement. The (k+1)th priority, ``kappa``, gives each draw's inclusion probability 1 - exp(-exp(log p - kappa)).
-
-All texts of a slice are searched side by side in numpy. Random numbers are hashes of (key, draw, unit, step): a row's
-samples depend on its key and text alone, not on its batch or task.
+Gumbel top-k by a perturbed A* search. The frontier holds sets of segmentations: those that leave a path met before
+at one of a range of its nodes, by an edge not yet taken. A set's priority is its perturbed log-probability, the maximum
+over its members. Popping the largest fixes one member: the node where it leaves the path and the edge it takes are
+drawn by the mass behind them, and then it follows edges at random to the end, which is how the member that attains the
+maximum is distributed; it keeps the set's priority. What else was in the set returns to the frontier as four sets, the
+nodes before that node, the node's other edges, the nodes after it, and what leaves the new path, each with a
+priority drawn from the Gumbel law about its mass, truncated at the popped one. A range's mass is a difference of two
+prefixes' probabilities, so a set costs the same whatever it holds. Complete paths leave the search in falling order
+of priority: k draws without replacement. The (k+1)th priority, ``kappa``, gives each draw's inclusion probability
+1 - exp(-exp(log p - kappa)).
+
+All texts of a slice are searched side by side in numpy. Random numbers are hashes of (key, purpose, draw, unit, step): a
+row's samples depend on its key and text alone, not on its batch or task.
 
 Defined results: a null or empty text is the model's lone space, one segmentation; a text with fewer than k
 segmentations gives them all, each with inclusion 1; equal keys and texts give equal rows; a null key counts as 0.
@@ -40,17 +44,22 @@ UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SLICE = 1 << 20
 IDS = 1 << 18
 MOST_EDGES = 5_000_000  # a task's memory; forgotten beyond it, without a change of results
-C1, C2, C3, C4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+C1, C2, C3, C4, C5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
+FIRST, STEP, NODE, EDGE, BEFORE, SIBLING, AFTER, INSIDE = range(8)  # purposes of random numbers
 
 
-def uniform(key: np.ndarray, draw: int, unit: np.ndarray, step) -> np.ndarray:
-    """In (0, 1): a hash of the four numbers."""
+def uniform(key: np.ndarray, purpose: int, draw: int, unit: np.ndarray | int = 0, step: int = 0) -> np.ndarray:
+    """In (0, 1): a hash of the five numbers."""
     with np.errstate(over="ignore"):
-        x = key * C1 + np.uint64(draw) * C2 + unit.astype(np.uint64) * C3 + np.uint64(step) * C4
+        same = np.uint64((int(C2) * draw + int(C4) * step + int(C5) * purpose) & 0xFFFFFFFFFFFFFFFF)
+        x = key * C1
+        x += np.asarray(unit).astype(np.uint64) * C3 + same
         for m in (C2, C4):
-            x = (x ^ (x >> np.uint64(31))) * m
+            x ^= x >> np.uint64(31)
+            x *= m
     x ^= x >> np.uint64(29)
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    x >>= np.uint64(12)
+    return (x + 0.5) * 2.0**-52
 
 
 def truncated(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -83,7 +92,7 @@ class Grown:
 
 
 class Trie:
-    """The vocabulary as a table of (node, character) to node; many walks advance together."""
+    """The vocabulary as a hash table of (node, character) to node; many walks advance together."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]) -> None:
         nodes: dict[tuple[int, int], int] = {}
@@ -93,21 +102,49 @@ class Trie:
             for c in spelling:
                 at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
             ends[at] = entry
-        keys = np.array([a << 21 | c for a, c in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order]
+        keys = np.array([a << 21 | c for a, c in nodes], np.uint64)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.keys, self.child = np.full(1 << (64 - int(self.shift)), C5), np.zeros(1 << (64 - int(self.shift)), np.int64)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # each free slot to one of the keys that ask for it; the others ask for the next
+            free = np.flatnonzero(self.keys[at] == C5)
+            slots, who = np.unique(at[free], return_index=True)
+            won = free[who]
+            self.keys[slots], self.child[slots] = keys[left[won]], left[won] + 1
+            lost = np.ones(len(left), bool)
+            lost[won] = False
+            left, at = left[lost], (at[lost] + 1) & (len(self.keys) - 1)
         self.piece, self.weight = np.full(len(nodes) + 1, -1, np.int32), np.zeros(len(nodes) + 1)
         for at, (piece, weight) in ends.items():
             self.piece[at], self.weight[at] = piece, weight
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * C1 >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The node that each character leads to; 0: none."""
+        keys = (state << 21 | characters).view(np.uint64)
+        at = self._slot(keys)
+        found = self.keys[at]
+        hit = found == keys
+        out = np.where(hit, self.child[at], 0)
+        open_ = np.flatnonzero(~hit & (found != C5))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.child[at[open_[hit]]]
+            open_ = open_[~hit & (found != C5)]
+        return out
+
     def matches(self, cp: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece, weight) of every piece found at any place of ``cp`` and before that place's end."""
         alive, state, length, found = np.arange(len(cp)), np.zeros(len(cp), np.int64), 0, []
         while len(alive):
-            key = state << 21 | cp[alive + length]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            alive, state, length = alive[hit], self.child[at[hit]], length + 1
+            state = self.step(state, cp[alive + length])
+            hit = np.flatnonzero(state)
+            alive, state, length = alive[hit], state[hit], length + 1
             whole = self.piece[state] >= 0
             found.append((alive[whole], np.full(int(whole.sum()), length), self.piece[state[whole]], self.weight[state[whole]]))
             inside = alive + length < end[alive]
@@ -143,7 +180,7 @@ class Lattices:
 
     def forget(self) -> None:
         self.start: dict[str, int] = {}
-        self.first, self.piece, self.to, self.chance, self.upto = map(Grown, "iiidd")
+        self.first, self.piece, self.to, self.log, self.upto = map(Grown, "iiidd")
         self.first.extend(np.zeros(1, np.int32))  # of each node, its first edge; one more at the end
 
     def add(self, units: list[str]) -> None:
@@ -188,7 +225,7 @@ class Lattices:
         self.first.extend(len(self.piece) + np.cumsum(np.concatenate([counts, np.ones(len(chain_node), np.int64)])))
         self.piece.extend(np.concatenate([piece, chain_piece]))
         self.to.extend(base + np.concatenate([to, chain_to]))
-        self.chance.extend(np.concatenate([chance, np.ones(len(chain_node))]))
+        self.log.extend(np.concatenate([np.log(chance), np.zeros(len(chain_node))]))
         self.upto.extend(base + np.concatenate([node[source] + upto, chain_node + 1.0]))
         self.start.update(zip(units, (base + np.cumsum(sizes) - sizes + np.arange(len(units))).tolist(), strict=True))
 
@@ -224,7 +261,7 @@ class Lattices:
         return at[code], np.bincount(row, minlength=len(column))
 
     def views(self) -> tuple[np.ndarray, ...]:
-        return tuple(a.view() for a in (self.first, self.piece, self.to, self.chance, self.upto))
+        return tuple(a.view() for a in (self.first, self.piece, self.to, self.log, self.upto))
 
 
 def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -247,17 +284,40 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return row, code, list(units)
 
 
-def _segment_best(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The largest value of each (non-empty) segment and its first place."""
-    best = np.maximum.reduceat(values, starts)
-    hits = np.flatnonzero(values == np.repeat(best, counts))
-    owner = np.repeat(np.arange(len(starts)), counts)[hits]
-    return best, hits[np.searchsorted(owner, np.arange(len(starts)))]
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of each range, one range after another."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def log_difference(more: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """log(exp(more) - exp(less)); -inf where they are equal."""
+    with np.errstate(divide="ignore"):
+        return more + np.log(-np.expm1(np.minimum(less - more, 0)))
+
+
+class Paths:
+    """One path of some texts: edges and units of all, and the log-probability of each path up to and with each edge."""
+
+    def __init__(self, texts: np.ndarray, edges: np.ndarray, units: np.ndarray, counts: np.ndarray, log: np.ndarray, n: int) -> None:
+        self.edges, self.units, self.counts = edges, units, counts
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        steps = log.copy()
+        steps[starts[1:]] -= np.add.reduceat(log, starts)[:-1]  # sums start anew at each text
+        self.upto = np.cumsum(steps)
+        self.start, self.end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.start[texts], self.end[texts] = starts, ends
+        base = self.upto[starts] - log[starts]  # what rounding left of the texts before
+        self.upto -= np.repeat(base, counts)
+
+    def before(self, texts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Log-probability of the texts' paths up to these places."""
+        return np.where(places > self.start[texts], self.upto[np.maximum(places, 1) - 1], 0.0)
 
 
 class Search:
-    """The searches of all texts of a slice. A path is (edges, their units, texts' counts, priorities of the sets left
-    at each node)."""
+    """The searches of all texts of a slice."""
 
     def __init__(self, lattices: Lattices, column: pa.Array, keys: np.ndarray) -> None:
         if len(lattices.piece) > MOST_EDGES:
@@ -266,32 +326,29 @@ class Search:
         self.text = np.repeat(np.arange(len(column)), counts)
         self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.keys, self.n = keys, len(column)
-        self.first, self.piece, self.to, self.chance, self.upto = lattices.views()
+        self.first, self.piece, self.to, self.log, self.upto = lattices.views()
         self.last_unit = np.cumsum(counts)
 
     def walk(self, units: np.ndarray, nodes: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
         """Follow edges at random from each unit's node to the unit's end: (edges, places among ``units``) in order."""
-        edges, owners, steps = [], [], []
+        edges, owners = [], []
+        lengths = np.zeros(len(units), np.int64)
         live = np.flatnonzero(self.first[nodes + 1] > self.first[nodes])
         now, step = nodes[live], 0
+        keys, numbers = self.keys[self.text[units]], self.number[units]
         while len(live):
-            unit = units[live]
-            u = uniform(self.keys[self.text[unit]], draw, self.number[unit], step)
-            edge = self._choose(now, u)
+            edge = self._choose(now, uniform(keys[live], STEP, draw, numbers[live], step))
             edges.append(edge)
             owners.append(live)
-            steps.append(np.full(len(live), step))
             now, step = self.to[edge], step + 1
+            lengths[live] = step
             go = self.first[now + 1] > self.first[now]
             live, now = live[go], now[go]
-        if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        edge, owner, step = np.concatenate(edges), np.concatenate(owners), np.concatenate(steps)
-        lengths = np.bincount(owner, minlength=len(units))
-        place = (np.cumsum(lengths) - lengths)[owner] + step
-        out, own = np.empty(len(edge), np.int64), np.empty(len(edge), np.int64)
-        out[place], own[place] = edge, owner
-        return out, own
+        out = np.empty(int(lengths.sum()), np.int64)
+        starts = np.cumsum(lengths) - lengths
+        for step, (edge, owner) in enumerate(zip(edges, owners, strict=True)):
+            out[starts[owner] + step] = edge
+        return out, np.repeat(np.arange(len(units)), lengths)
 
     def _choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node in whose share of 0 to 1 ``u`` lies."""
@@ -302,87 +359,122 @@ class Search:
             low = low[self.upto[edge[low]] < target[low]]
         return edge
 
-    def priorities(self, edges: np.ndarray, units: np.ndarray, counts: np.ndarray, perturbed: np.ndarray, fresh: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-        """(log-probability of each path, priority of the other edges at each node it passes from ``fresh`` on)."""
-        log_p = np.log(self.chance[edges])
-        starts = np.cumsum(counts) - counts
-        run = np.cumsum(log_p)
-        before = run - log_p - np.repeat(run[starts] - log_p[starts], counts)
-        place = before + np.log1p(-np.minimum(self.chance[edges], 1.0), where=self.chance[edges] < 1, out=np.full(len(edges), -np.inf))
-        index = np.arange(len(edges)) - np.repeat(starts, counts)
-        u = uniform(self.keys[self.text[units]], draw + 1000, index, 77)
-        side = truncated(place, np.repeat(perturbed, counts), u)
-        return np.add.reduceat(log_p, starts), np.where(index >= np.repeat(fresh, counts), side, -np.inf)
-
     def run(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each draw: (texts that have it, edges, counts, log-probability, priority); last, kappa of all texts."""
-        every = np.arange(self.n)
-        units = np.arange(len(self.text))
-        edges, owner = self.walk(units, self.unit_start, 0)
-        counts = np.bincount(self.text[owner], minlength=self.n)
-        perturbed = -np.log(-np.log(uniform(self.keys, 0, every * 0, 99)))
-        log_p, side = self.priorities(edges, owner, counts, perturbed, np.zeros(self.n, int), 0)
-        paths = [(every, edges, owner, counts, side)]
-        taken: dict[tuple[int, int], list[int]] = {}
+        every, n = np.arange(self.n), self.n
+        edges, units = self.walk(np.arange(len(self.text)), self.unit_start, 0)
+        counts = np.bincount(self.text[units], minlength=n)
+        found = Paths(every, edges, units, counts, self.log[edges], n)
+        log_p = found.upto[found.end - 1]
+        perturbed = -np.log(-np.log(uniform(self.keys, FIRST, 0)))
         yield every, edges, counts, log_p, perturbed
+        paths, taken = [found], {}
+        #: A column a set: its path, the range of places where its members leave it, whether taken edges are listed.
+        path, low, high, listed = np.zeros((n, 1), np.int64), found.start[:, None].copy(), found.end[:, None].copy(), np.zeros((n, 1), bool)
+        priority = truncated(log_difference(np.zeros(n), log_p), perturbed, uniform(self.keys, INSIDE, 0))[:, None]
         for draw in range(1, k + 1):
-            best, which, where = np.full(self.n, -np.inf), np.zeros(self.n, int), np.zeros(self.n, int)
-            for q, (own, _, _, counts, side) in enumerate(paths):
-                value, place = _segment_best(side, np.cumsum(counts) - counts, counts)
-                better = value > best[own]
-                best[own[better]], which[own[better]], where[own[better]] = value[better], q, place[better]
-            if draw == k:
-                yield every, None, None, None, best
-                return
+            column = priority.argmax(1)
+            best = priority[every, column]
             alive = np.flatnonzero(np.isfinite(best))
-            if not len(alive):
+            if draw == k or not len(alive):
                 yield every, None, None, None, best
                 return
-            begins = [np.cumsum(p[3]) - p[3] for p in paths]
-            heads, branch, cut = [], np.empty(len(alive), np.int64), np.empty(len(alive), np.int64)
-            u = uniform(self.keys[alive], draw + 2000, alive * 0, 55)
-            for x, t in enumerate(alive.tolist()):
-                q, at = int(which[t]), int(where[t])
-                own, edges, owner, counts, side = paths[q]
-                mine = int(np.searchsorted(own, t))
-                begin = begins[q][mine]
-                out = taken.setdefault((q, at), [int(edges[at])])
-                node = self._source(int(edges[at]))
-                low, high = int(self.first[node]), int(self.first[node + 1])
-                open_edges = [e for e in range(low, high) if e not in out]
-                weights = self.chance[open_edges]
-                pick = open_edges[min(int(np.searchsorted(np.cumsum(weights), u[x] * weights.sum())), len(open_edges) - 1)]
-                out.append(pick)
-                heads.append((q, int(begin), at))
-                branch[x], cut[x] = pick, owner[at]
-                rest = weights.sum() - self.chance[pick]
-                before = np.log(self.chance[edges[begin:at]]).sum()
-                if len(open_edges) > 1 and rest > 0:
-                    v = uniform(self.keys[t : t + 1], draw + 3000, np.array([at - begin]), 33)
-                    side[at] = truncated(np.array([before + math.log(rest)]), best[t : t + 1], v)[0]
-                else:
-                    side[at] = -np.inf
-            tails = np.concatenate([np.arange(c, self.last_unit[t]) for c, t in zip(cut, alive, strict=True)])
+            column, most = column[alive], best[alive]
+            q, a, b, single = path[alive, column], low[alive, column], high[alive, column], listed[alive, column]
+            priority[alive, column] = -np.inf
+            place = self._leaves(paths, alive, q, a, b, uniform(self.keys[alive], NODE, draw))
+            own, before, after = np.empty(len(alive), np.int64), np.empty(len(alive)), np.empty(len(alive))
+            unit, start = np.empty(len(alive), np.int64), np.empty(len(alive), np.int64)
+            base, total = np.empty(len(alive)), np.empty(len(alive))
+            for p in np.unique(q):
+                its = q == p
+                of, t = paths[p], alive[its]
+                own[its], unit[its], start[its] = of.edges[place[its]], of.units[place[its]], of.start[t]
+                before[its], after[its] = of.before(t, place[its]), of.upto[place[its]]
+                base[its], total[its] = of.before(t, a[its]), of.upto[b[its] - 1]
+            known = {x: taken[int(alive[x]), int(column[x])] for x in np.flatnonzero(single).tolist()}
+            pick, rest = self._branches(own, known, uniform(self.keys[alive], EDGE, draw))
+
+            sizes = self.last_unit[alive] - unit
+            tails = ranges(unit, sizes)
             nodes = self.unit_start[tails]
-            sizes = self.last_unit[alive] - cut
-            nodes[np.cumsum(sizes) - sizes] = self.to[branch]
+            nodes[np.cumsum(sizes) - sizes] = self.to[pick]
             tail, tail_owner = self.walk(tails, nodes, draw)
-            tail_text = self.text[tails[tail_owner]]
-            bounds = np.searchsorted(tail_text, [alive, alive + 1])
-            new_edges, new_owner, new_counts = [], [], []
-            for x, (q, begin, at) in enumerate(heads):
-                a, b = bounds[0][x], bounds[1][x]
-                new_edges += [paths[q][1][begin:at], branch[x : x + 1], tail[a:b]]
-                new_owner += [paths[q][2][begin:at], cut[x : x + 1], tails[tail_owner[a:b]]]
-                new_counts.append(at - begin + 1 + b - a)
-            edges, owner, counts = np.concatenate(new_edges), np.concatenate(new_owner), np.array(new_counts)
-            fresh = np.array([at - begin + 1 for _, begin, at in heads])
-            log_p, side = self.priorities(edges, owner, counts, best[alive], fresh, draw)
-            paths.append((alive, edges, owner, counts, side))
-            yield alive, edges, counts, log_p, best[alive]
-
-    def _source(self, edge: int) -> int:
-        return int(np.searchsorted(self.first, self.first.dtype.type(edge), side="right")) - 1
+            tail_units = tails[tail_owner]
+            tail_counts = np.bincount(np.searchsorted(alive, self.text[tail_units]), minlength=len(alive))
+            head = place - start
+            counts = head + 1 + tail_counts
+            starts = np.cumsum(counts) - counts
+            edges, units = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
+            for p in np.unique(q):
+                its = q == p
+                into, source = ranges(starts[its], head[its]), ranges(start[its], head[its])
+                edges[into], units[into] = paths[p].edges[source], paths[p].units[source]
+            edges[starts + head], units[starts + head] = pick, unit
+            into = ranges(starts + head + 1, tail_counts)
+            edges[into], units[into] = tail, tail_units
+            found = Paths(alive, edges, units, counts, self.log[edges], n)
+            log_p = found.upto[found.end[alive] - 1]
+            paths.append(found)
+            yield alive, edges, counts, log_p, most
+
+            whole = np.where(single, -np.inf, 0.0)  # a listed node has nothing before or after it
+            begun = starts + head + 1
+            sets = (
+                (BEFORE, q, a, place, log_difference(base, before) + whole),
+                (SIBLING, q, place, place + 1, before + rest),
+                (AFTER, q, place + 1, b, log_difference(after, np.minimum(total, after)) + whole),
+                (INSIDE, np.full(len(alive), len(paths) - 1), begun, found.end[alive], log_difference(before + self.log[pick], log_p)),
+            )
+            width = path.shape[1]
+            for x in range(len(alive)):
+                taken[int(alive[x]), width + 1] = [*known.get(x, [int(own[x])]), int(pick[x])]
+            wider = lambda old, fill: np.concatenate([old, np.full((n, len(sets)), fill, old.dtype)], 1)
+            path, low, high, listed, priority = wider(path, 0), wider(low, 0), wider(high, 0), wider(listed, False), wider(priority, -np.inf)
+            for c, (purpose, its_path, first, last, mass) in enumerate(sets, width):
+                path[alive, c], low[alive, c], high[alive, c], listed[alive, c] = its_path, first, last, purpose == SIBLING
+                some = np.where(last > first, mass, -np.inf)
+                priority[alive, c] = truncated(some, most, uniform(self.keys[alive], purpose, draw))
+
+    @staticmethod
+    def _leaves(paths: list[Paths], texts: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A place of each range, drawn by the mass that leaves there: the first where the share of the range's mass
+        that has left exceeds ``u``, by bisection."""
+        place = low.copy()
+        for p in np.unique(q):
+            its = np.flatnonzero(q == p)
+            of, t = paths[p], texts[its]
+            base, end = of.before(t, low[its]), of.upto[high[its] - 1]
+            bound = base + np.log1p(u[its] * np.expm1(np.minimum(end - base, 0)))
+            bound = np.maximum(bound, np.nextafter(end, np.inf))  # where rounding left none: the last place with any mass
+            a, b = low[its].copy(), high[its] - 1
+            while (a < b).any():
+                middle = (a + b) >> 1
+                left = of.upto[middle] < bound
+                a, b = np.where(left, a, np.minimum(middle + 1, b)), np.where(left, middle, b)
+            place[its] = a
+        return place
+
+    def _branches(self, own: np.ndarray, known: dict[int, list[int]], u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An edge beside each of ``own`` and the log of what its node's edges weigh without both; ``known``: edges
+        that are taken, ``own`` among them, where that is not the only one."""
+        node = np.searchsorted(self.first, own.astype(self.first.dtype), side="right") - 1
+        starts, counts = self.first[node].astype(np.int64), (self.first[node + 1] - self.first[node]).astype(np.int64)
+        edges, owner = ranges(starts, counts), np.repeat(np.arange(len(own)), counts)
+        weight = np.exp(self.log[edges])
+        weight[edges == own[owner]] = 0
+        begins = np.cumsum(counts) - counts
+        for x, gone in known.items():
+            weight[begins[x] + np.array(gone) - starts[x]] = 0
+        total = np.add.reduceat(weight, begins)
+        run = np.cumsum(weight)
+        run -= np.repeat(run[begins] - weight[begins], counts)
+        fits = (run >= (u * total)[owner]) & (weight > 0)
+        last = np.maximum.reduceat(np.where(weight > 0, np.arange(len(edges)), 0), begins)  # where rounding left none
+        at = np.minimum(np.minimum.reduceat(np.where(fits, np.arange(len(edges)), len(edges)), begins), last)
+        weight[at] = 0
+        with np.errstate(divide="ignore"):
+            return edges[at], np.log(np.add.reduceat(weight, begins))
 
 
 _lattices: dict[tuple[str, float], Lattices] = {}
