@@ -1,11 +1,13 @@
 """Near-duplicate vectors by an inverted multi-index.
 
-Unit vectors are halved and each half has its own codebook of ``CENTROIDS`` entries (k-means on a bounded sample), so
-a vector's cell is one of their product grid. Every vector is indexed in its cell. A query visits the cells of the
-grid nearest first by the multi-sequence algorithm (a heap over the two sorted lists of distances). How many it visits
-is measured: ``CALIBRATE`` sampled vectors are compared with all vectors of their label, and the number is the
-smallest, from ``LEAST_VISITS``, at which the share of a vector's true pairs that is found, from either side, reaches
-``TARGET`` in the mean over those vectors, so that a few vectors with many pairs do not decide it.
+Unit vectors are halved and each half has its own codebook (k-means on a bounded sample), so a vector's cell is one of
+their product grid. Codebooks grow with the root of the number of vectors, so that a cell holds about a block of them.
+Every vector is indexed in its cell. A query visits the cells of the grid nearest first by the multi-sequence
+traversal: of each entry of the first codebook the next cell is at hand, and the nearest of these is visited. How many
+it visits is measured: ``CALIBRATE`` sampled vectors are compared with all vectors of their label, and the number is the
+smallest, from ``LEAST_VISITS``, at which the true pairs found, from either side, reach ``TARGET``, both as a mean over
+those vectors and as a share of their links (of each vector's partners in a batch, ``PARTNERS`` are placed in the order
+and stand for all). If they have no pairs, pairs are planted: each with a copy turned to just the cosine asked for.
 
 Candidates meet in blocks: a cell of one label is cut into blocks of at most ``BLOCK`` index rows, the queries that
 visit it into blocks as well, and each pair of blocks is one group, whose cosines are one matrix product in double
@@ -13,17 +15,19 @@ precision. A group returns counts and a spanning set of its links, never its pai
 of each vector whose visits contain the other's cell; the indexed side carries its own visits, so that a pair counts
 once for both whichever side finds it.
 
-Equal vectors of one label are one class with a weight. Bounds: sample, codebooks and calibration are of fixed size;
-a group holds at most BLOCK + BLOCK rows; only counts of blocks, a number a cell, are aggregated.
+Equal vectors of one label are one class, with a number of its own and a weight. Bounds: sample, codebooks and
+calibration are of fixed size; a group holds at most BLOCK + BLOCK rows; only counts of blocks, a number a cell, are
+aggregated.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, and null labels, link with
-nothing; vectors of another length than most of the sample's are compared by one cell of their own length;
-repeated ids are one vector each row; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or hold null or non-finite components, null labels and null ids link
+with nothing; vectors of another length than most of the sample's are compared by one cell of their own length;
+repeated ids are one vector each row; ids and labels may have any type that can be ordered; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop, stage
 from .components import components
-from .shared import stage
 
-CENTROIDS = 16
+LEAST_CENTROIDS, MOST_CENTROIDS = 16, 1_000
 SAMPLE = 20_000
 CALIBRATE = 2_000
+PARTNERS = 16
 TARGET = 0.999
 LEAST_VISITS = 8
 BLOCK = 1024
 ROUNDS = 12
+ROWS = 1024  # that are compared with the sample together
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -68,21 +74,34 @@ class Grid:
         self.half = first.shape[1]
 
     @classmethod
-    def fit(cls, sample: np.ndarray, k: int = CENTROIDS) -> Grid:
+    def fit(cls, sample: np.ndarray, k: int = LEAST_CENTROIDS) -> Grid:
         half = sample.shape[1] // 2
         return cls(k_means(sample[:, :half], k), k_means(sample[:, half:], k))
 
+    def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _distances(unit[:, : self.half], self.books[0]), _distances(unit[:, self.half :], self.books[1])
+
     def visits(self, unit: np.ndarray, most: int) -> np.ndarray:
         """The ``most`` nearest cells of each vector, nearest first: (vectors, most)."""
-        a, b = _distances(unit[:, : self.half], self.books[0]), _distances(unit[:, self.half :], self.books[1])
+        a, b = self.distances(unit)
         by_a, by_b = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
-        a, b = np.take_along_axis(a, by_a, 1), np.take_along_axis(b, by_b, 1)
-        width = b.shape[1]
-        most = min(most, a.shape[1] * width)
-        out = np.empty((len(unit), most), np.int32)
-        for k in range(len(unit)):
-            i, j = np.array(list(multi_sequence(a[k].tolist(), b[k].tolist(), most))).T
-            out[k] = by_a[k, i] * width + by_b[k, j]
+        i, j = multi_sequence(np.take_along_axis(a, by_a, 1), np.take_along_axis(b, by_b, 1), min(most, self.cells))
+        return (np.take_along_axis(by_a, i, 1) * b.shape[1] + np.take_along_axis(by_b, j, 1)).astype(np.int32)
+
+    def ranks(self, unit: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells each vector visits before the one named for it."""
+        a, b = self.distances(unit)
+        row, width = np.arange(len(unit)), b.shape[1]
+        target = a[row, cells // width] + b[row, cells % width]
+        a, out = np.sort(a, 1), np.zeros(len(unit), np.int64)
+        least = b.min(1)
+        for k in range(a.shape[1]):
+            near = np.flatnonzero(a[:, k] + least < target)
+            if not len(near):
+                break
+            for at in range(0, len(near), ROWS):
+                some = near[at : at + ROWS]
+                out[some] += (a[some, k][:, None] + b[some] < target[some][:, None]).sum(1)
         return out
 
     @property
@@ -90,24 +109,25 @@ class Grid:
         return len(self.books[0]) * len(self.books[1])
 
 
-def multi_sequence(a: list[float], b: list[float], most: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of two ascending lists by ascending sum."""
-    heap, pushed = [(a[0] + b[0], 0, 0)], {(0, 0)}
-    while heap and most:
-        _, i, j = heapq.heappop(heap)
-        yield i, j
-        most -= 1
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in pushed:
-                pushed.add((x, y))
-                heapq.heappush(heap, (a[x] + b[y], x, y))
+def multi_sequence(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the first ``most`` index pairs (i, j) by ascending a[i] + b[j], of rows that ascend: (rows, most) each."""
+    n, row = len(a), np.arange(len(a))
+    first, second = np.empty((n, most), np.int64), np.empty((n, most), np.int64)
+    b = np.concatenate([b, np.full((n, 1), np.inf)], 1)
+    ahead = np.zeros(a.shape, np.int64)  # of each i, the next j
+    sums = a + b[:, :1]
+    for k in range(most):
+        i = sums[:, : k + 1].argmin(1)  # an i opens only after those before it
+        first[:, k], second[:, k] = i, ahead[row, i]
+        ahead[row, i] += 1
+        sums[row, i] = a[row, i] + b[row, ahead[row, i]]
+    return first, second
 
 
 def unit_rows(vectors: pa.Array) -> np.ndarray:
     """Unit vectors in double precision of list rows of one length."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(vectors), -1)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    return _unit(flat.reshape(len(vectors), -1))
 
 
 def usable(vector: str):
@@ -122,57 +142,79 @@ def fit(rows: DataFrame, cosine: float) -> tuple[Grid, int] | None:
     if size is None:
         return None
     even = rows.where(F.size("vector") == size["size"])
-    sample = even.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
-    x = np.stack([np.asarray(v, np.float64) for v in sample])
-    grid = Grid.fit(x / np.sqrt((x * x).sum(1))[:, None]) if size["size"] > 1 else Grid(np.zeros((1, 0)), np.zeros((1, 1)))
-    asked = even.orderBy(F.xxhash64("vector", "id"), "id").limit(CALIBRATE).select("id", "label", "vector").toPandas()
-    queries = even.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), asked["label"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in asked["vector"]]), grid))
+    sample = even.orderBy(F.xxhash64("class", "vector"), "class").limit(SAMPLE).select("vector").toPandas()["vector"]
+    k = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, math.ceil(math.sqrt(size["count"] / BLOCK))))
+    grid = Grid.fit(_unit(np.stack([np.asarray(v, np.float64) for v in sample])), k) if size["size"] > 1 else Grid(np.zeros((1, 0)), np.zeros((1, 1)))
+    asked = even.orderBy(F.xxhash64("vector", "class"), "class").limit(CALIBRATE).select("class", "label", "vector").toPandas()
+    vectors = _unit(np.stack([np.asarray(v, np.float64) for v in asked["vector"]]))
+    queries = even.sparkSession.sparkContext.broadcast((asked["class"].to_numpy(), asked["label"].to_numpy(), vectors, grid))
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, q, grid = queries.value
-        q = q / np.sqrt((q * q).sum(1))[:, None]
-        q_visits = grid.visits(q, grid.cells)
-        q_place = np.argsort(q_visits, 1)
+        homes = grid.visits(q, 1)[:, 0]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y = unit_rows(batch.column(2))
-            true = (q @ y.T >= cosine) & (labels[:, None] == batch.column(1).to_numpy()[None]) & (ids[:, None] != batch.column(0).to_numpy()[None])
-            some = np.flatnonzero(true.any(0))
-            if len(some):
-                visits = grid.visits(y[some], grid.cells)
-                place = np.argsort(visits, 1)
-                i, j = np.nonzero(true[:, some])
-                best = np.minimum(q_place[i, visits[j, 0]], place[j, q_visits[i, 0]])
-                found, n = np.unique(i * grid.cells + best, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found // grid.cells, pa.int64()), pa.array(found % grid.cells, pa.int64()), pa.array(n, pa.int64())], ["query", "rank", "n"])
-
-    counted = even.select("id", "label", "vector").mapInArrow(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n")).toPandas()
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                y, y_labels = unit_rows(part.column(2)), part.column(1).to_numpy(zero_copy_only=False)
+                true = (q @ y.T >= cosine) & (labels[:, None] == y_labels[None]) & (ids[:, None] != part.column(0).to_numpy()[None])
+                n = true.sum(1)
+                i, j = np.nonzero(true & (np.cumsum(true, 1) <= PARTNERS))
+                if len(i):
+                    best = np.minimum(grid.ranks(q[i], grid.visits(y, 1)[j, 0]), grid.ranks(y[j], homes[i]))
+                    each = n[i] / np.minimum(n[i], PARTNERS)
+                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(best, pa.int64()), pa.array(each, pa.float64())], ["query", "rank", "n"])
+
+    found = even.select("class", "label", "vector").mapInArrow(ranks, "query long, rank long, n double")
+    counted = found.groupBy("query", "rank").agg(F.sum("n").alias("n")).toPandas()  # of CALIBRATE queries
     if not len(counted):
-        return grid, grid.cells
-    share = counted["n"] / counted.groupby("query")["n"].transform("sum")
-    recall = np.cumsum(np.bincount(counted["rank"], weights=share, minlength=grid.cells)) / counted["query"].nunique()
-    return grid, min(grid.cells, max(LEAST_VISITS, int(np.searchsorted(recall, TARGET)) + 1))
+        turned = _turned(vectors, cosine)
+        best = np.minimum(grid.ranks(vectors, grid.visits(turned, 1)[:, 0]), grid.ranks(turned, grid.visits(vectors, 1)[:, 0]))
+        counted = pd.DataFrame({"query": np.arange(len(best)), "rank": best, "n": 1.0})
+    by_vector = counted["n"] / counted.groupby("query")["n"].transform("sum")
+    most = LEAST_VISITS
+    for weight in (by_vector, counted["n"]):
+        order = np.argsort(counted["rank"].to_numpy(), kind="stable")
+        reached = np.cumsum(weight.to_numpy()[order]) / weight.sum()
+        most = max(most, int(counted["rank"].to_numpy()[order][min(int(np.searchsorted(reached, TARGET)), len(order) - 1)]) + 1)
+    return grid, min(grid.cells, most)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _turned(unit: np.ndarray, cosine: float) -> np.ndarray:
+    """Of each unit vector, one at this cosine to it in a random direction."""
+    side = np.random.default_rng(5).normal(size=unit.shape)
+    side -= (side * unit).sum(1)[:, None] * unit
+    lengths = np.sqrt((side * side).sum(1))[:, None]
+    side = np.divide(side, lengths, out=np.zeros_like(side), where=lengths > 0)
+    return cosine * unit + math.sqrt(max(0.0, 1 - cosine * cosine)) * side
 
 
 def near_vectors(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of each row."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("vector"))
+    rows = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").alias("label"), F.col(f"`{vector}`").alias("vector"))
     fine = rows.where(usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull())
-    classes = stage(fine.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
+    grouped = fine.groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
+    classes = stage(grouped.withColumn("class", F.monotonically_increasing_id()), "vectors")
     fitted = fit(classes, cosine)
     if fitted is None:
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    found = stage(_compare(_index(classes, *fitted), cosine), "near")
+        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    index = _index(classes, *fitted)
+    found = stage(_compare(index, cosine), "near")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.where("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    judged = classes.join(counts, "id", "left").join(groups, "id", "left").select(
-        F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("_n"), F.coalesce("component", "id").alias("_component")
+    placed = classes.join(groups.toDF("class", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = placed.groupBy("component").agg(F.min("first").alias("least"))
+    judged = placed.join(least, "component").join(counts.toDF("class", "n"), "class", "left").select(
+        F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("_n"), F.col("least").alias("_component")
     )
     joined = rows.join(judged, (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector")), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
-    n_links = F.when(F.col("id").isNotNull(), F.col("_n"))
-    return joined.select(F.col("id").alias(key), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    known = F.col("id").isNotNull()
+    component = F.coalesce(F.when(known, F.col("_component")), "id")
+    drop(index)
+    return joined.select(F.col("id").alias(key), F.coalesce(F.when(known, F.col("_n")), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def _index(classes: DataFrame, grid: Grid, most: int) -> DataFrame:
@@ -191,8 +233,8 @@ def _index(classes: DataFrame, grid: Grid, most: int) -> DataFrame:
                     cells[k] = v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["id", "label", "weight", "vector", "visits"])
 
-    kind = classes.schema["vector"].dataType.simpleString()
-    return stage(classes.select("id", "label", "weight", "vector").mapInArrow(run, f"id long, label long, weight long, vector {kind}, visits array<int>"), "index")
+    kind = lambda c: classes.schema[c].dataType.simpleString()
+    return stage(classes.select("class", "label", "weight", "vector").mapInArrow(run, f"id long, label {kind('label')}, weight long, vector {kind('vector')}, visits array<int>"), "index")
 
 
 def _compare(index: DataFrame, cosine: float) -> DataFrame:
@@ -213,7 +255,7 @@ def _compare(index: DataFrame, cosine: float) -> DataFrame:
         if own.empty or ask.empty:
             return none
         y, x = (np.stack([np.asarray(v, np.float64) for v in d["vector"]]) for d in (own, ask))
-        y, x = (v / np.sqrt((v * v).sum(1))[:, None] for v in (y, x))
+        y, x = _unit(y), _unit(x)
         y_id, x_id = own["id"].to_numpy(), ask["id"].to_numpy()
         link = (x @ y.T >= cosine) & (x_id[:, None] != y_id[None])
         home = ask["home"].to_numpy()
