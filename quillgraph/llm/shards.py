@@ -10,7 +10,8 @@ Runs number a few for each tier plus the settled ones; the driver reads the mani
 
 Defined results: columns and their names are free, null values and repeated rows are kept as they are, a null
 arrival is an arrival of its own, an empty arrival adds a version but no run, reading an empty store needs a
-schema and gives no rows.
+schema and gives no rows. An arrival's new columns join the schema from that version on and are null in earlier rows;
+columns that it lacks are null in its own; a column that comes with another type is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .shared import file_system
+from ..session import file_system
 
 ARRIVAL = "arrival_run"
 
@@ -44,6 +45,20 @@ class Manifest:
     runs: list[Run] = field(default_factory=list)
 
 
+def widened(known: str | None, new: StructType) -> StructType:
+    """The schema ``known`` (JSON, or None) and the columns of ``new`` that it lacks; names are compared as Spark does."""
+    if known is None:
+        return new
+    schema = StructType.fromJson(json.loads(known))
+    kinds = {f.name.lower(): f.dataType.simpleString() for f in schema}
+    for f in new:
+        if f.name.lower() not in kinds:
+            schema = schema.add(f.name, f.dataType, True)
+        elif kinds[f.name.lower()] != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {kinds[f.name.lower()]} in the store and {f.dataType.simpleString()} in the arrival")
+    return schema
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -109,15 +124,18 @@ class ShardStore:
 
     def append(self, df: DataFrame, arrival: Column | None = None) -> Manifest:
         """Append ``df`` as one run, or as a run for each value of ``arrival``, written in one pass."""
-        folder = f"{self.root}/runs/{uuid.uuid4().hex}"
-        writer = (df if arrival is None else df.withColumn(ARRIVAL, arrival)).write.option("compression", self.codec)
-        (writer if arrival is None else writer.partitionBy(ARRIVAL)).parquet(folder)
+        widened(self.manifest().schema, df.schema)
+        folder, own = f"{self.root}/runs/{uuid.uuid4().hex}", ARRIVAL
+        while own in {c.lower() for c in df.columns}:
+            own += "_"
+        writer = (df if arrival is None else df.withColumn(own, arrival)).write.option("compression", self.codec)
+        (writer if arrival is None else writer.partitionBy(own)).parquet(folder)
         paths = [folder]
         if arrival is not None:
             fs, where = file_system(self.spark, folder)
             paths = sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory())
         runs = [r for p in paths if (r := self._measure(p, df.schema))]
-        return self._update(lambda m: Manifest(m.version + 1, m.schema or df.schema.json(), [*m.runs, *runs]))
+        return self._update(lambda m: Manifest(m.version + 1, widened(m.schema, df.schema).json(), [*m.runs, *runs]))
 
     def tier(self, run: Run) -> int:
         """Runs of one tier differ in size by less than ``fan_in``; -1: settled."""
@@ -139,16 +157,21 @@ class ShardStore:
         files = max(1, math.ceil(sum(r.bytes for r in group) / self.target_bytes))
         self.spark.read.schema(schema).parquet(*[r.path for r in group]).coalesce(files).write.option("compression", self.codec).parquet(path)
         made = self._measure(path, schema, 1 + max(r.merges for r in group))
-        if made is None or made.rows != sum(r.rows for r in group):
-            raise RuntimeError(f"{path} does not hold the rows of the runs it merges")
+        gone = {r.path for r in group}
 
         def swap(m: Manifest) -> Manifest:
-            gone = {r.path for r in group}
             if not gone <= {r.path for r in m.runs}:
                 raise RuntimeError("another writer has merged these runs")
             return Manifest(m.version + 1, m.schema, [*[r for r in m.runs if r.path not in gone], made])
 
-        return self._update(swap)
+        try:
+            if made is None or made.rows != sum(r.rows for r in group):
+                raise RuntimeError(f"{path} does not hold the rows of the runs it merges")
+            return self._update(swap)
+        except RuntimeError:  # no version names what was written
+            fs, where = file_system(self.spark, path)
+            fs.delete(where, True)
+            raise
 
     def compact(self) -> Manifest:
         """Merge until no tier holds ``fan_in`` runs."""
