@@ -7,12 +7,15 @@ ends is the depth of nesting, and the last start at each depth, while it has not
 stack of active rules.
 
 The sweep runs in parallel over range partitions ("blocks"): what a block needs from those before it, its
-starting depth and the slots still open, is one row a block.
+starting depth and the slots still open, is one row a block. The stack holds hosts of rules and the lengths of their
+paths alone; which of a host's rules a path starts with is a join on host and a prefix of each such length, so no row
+holds all rules of a host.
 
 Defined results: a null url, or one without ``://``, has host and path ``""`` and meets no rule; an empty
 table gives an empty result; repeated rows are judged each; columns beside the url are carried along unless
 their name is one of the results', which then replaces them. Of rules that fit, the longest ``host + path``
 wins, then the longer host, then the smaller verdict (``allow``). Without a fitting rule the verdict is ``default``.
+Rules with a null are left out.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from ..session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULE = "struct<host:string,path:string,verdict:string>"
+ACTIVE = "array<struct<host:string,lengths:array<int>>>"
 
 
 def url_host(url: Column) -> Column:
@@ -48,12 +51,12 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, "[.]", -1)), "."), F.lit("."))
 
 
-def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """``hosts`` (key) and ``rules`` (host, path, verdict) to (key, rules): each key that lies in a rule's
-    interval once, with the rules of its stack from the outermost inwards."""
-    entry = F.struct("host", "path", "verdict")
-    by_host = rules.groupBy("host").agg(F.sort_array(F.collect_set(entry)).alias("rules")).withColumn("key", host_key(F.col("host")))
-    none = F.lit(None).cast(f"array<{RULE}>")
+def active_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``hosts`` (key) and ``rules`` (host, path, verdict) to (key, rules): each key that lies in a rule's interval once,
+    with the hosts of its stack from the outermost inwards and the lengths of their rules' paths."""
+    lengths = F.sort_array(F.collect_set(F.length("path")))
+    by_host = rules.groupBy("host").agg(F.array(F.struct("host", lengths.alias("lengths"))).alias("rules")).withColumn("key", host_key(F.col("host")))
+    none = F.lit(None).cast(ACTIVE)
     end = F.expr("concat(substring(key, 1, length(key) - 1), '/')")  # '/' follows '.': the first key after all that start with key
     starts = by_host.select(F.col("key").alias("at"), F.lit(1).alias("step"), end.alias("until"), "rules")
     ends = by_host.select(end.alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("until"), none.alias("rules"))
@@ -89,16 +92,16 @@ def judge_urls(df: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]],
     spark = df.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
-    made = ("host", "path", "rule", "verdict")
-    kept = [c for c in df.columns if c not in made]
-    parts = df.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    hosts = df.select(url_host(F.col(url)).alias("host")).distinct().select(host_key(F.col("host")).alias("key"), "host")
-    stacks = active_rules(hosts, rules)
-    with_stack = parts.withColumn("_key", host_key(F.col("host"))).join(stacks.select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
-    fits = F.filter(F.coalesce("_rules", F.array().cast(f"array<{RULE}>")), lambda r: F.col("path").startswith(r["path"]))
-    ranked = F.transform(fits, lambda r: F.struct(F.length(F.concat(r["host"], r["path"])).alias("n"), F.length(r["host"]).alias("h"), (r["verdict"] == "allow").alias("a"), r.alias("r")))
-    best = F.array_max(ranked)["r"]
-    return with_stack.withColumn("_best", best).select(
-        *[F.col(f"`{c}`") for c in kept], "host", "path",
-        F.concat(F.col("_best.host"), F.col("_best.path")).alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"),
-    )
+    rules = rules.select("verdict", "host", "path").dropna()
+    address = F.col(f"`{url}`")
+    parts = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), url_host(address).alias("host"), url_path(address).alias("path"))
+    places = parts.select("host", "path").distinct().withColumn("key", host_key(F.col("host")))
+    stacks = active_hosts(places.select("key"), rules)
+    asked = places.join(stacks, "key").select("host", "path", F.inline("rules")).toDF("host", "path", "rule_host", "lengths")
+    prefixes = asked.select("host", "path", "rule_host", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("path"))
+    prefixes = prefixes.select("host", "path", "rule_host", F.substring("path", F.lit(1), F.col("n")).alias("rule_path"))
+    fits = prefixes.join(rules.toDF("verdict", "rule_host", "rule_path"), ["rule_host", "rule_path"])
+    rank = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"), F.col("verdict") == "allow", F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    best = fits.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    return parts.join(best, ["host", "path"], "left").select(*[F.col(f"row.`{c}`") for c in kept], "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
