@@ -3,14 +3,17 @@
 Each record is one gzip member with the "sl" extra field of the WARC standard's annex: the member's compressed
 and full length. A reader plans files into partitions, inflates a record's header block first, tests the record
 type and header predicates that were pushed down (``record_type``, ``target_uri`` and ``record_id``, compared
-or listed), and jumps over a payload that no one asks for without inflating it. Members without that field are
-read too; their payload is inflated and dropped. Files are opened where they lie, through Arrow's file systems.
+or listed), and jumps over a payload that no one asks for without inflating it. Members without that field and records
+that are not compressed are read too. Files are opened where they lie, through Arrow's file systems, and read in blocks
+that records share.
 
 Writing: each task writes one archive under a temporary name; the driver's commit moves the finished ones into
 place, so that failed or repeated tasks leave nothing behind.
 
-Defined results: a null payload is written as an empty one, a null uri or field as no header; line ends inside a
-header value become spaces; an empty table gives an archive without records.
+Defined results: a null payload is written as an empty one, a null uri or field as no header, a missing WARC-Date as the
+time of writing; line ends inside a header value become spaces; an empty table gives an archive without records; files
+named ``*.warc.gz`` or ``*.warc`` are read at any depth, others are not; page ids may have any type that a string can be
+cast to, and a null one comes back as null.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -27,12 +31,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .shared import new_path
+from ..session import new_path
 
 READ_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, headers map<string,string>, payload binary"
 FIELDS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to"}
 BATCH_BYTES = 4 << 20
 BLOCK = 64 << 10
+READ = 1 << 20
+#: Fixed value: the standard's name of revisits with an equal payload.
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a path and the path in it; Hadoop's names of S3 are known."""
+    head, mark, tail = path.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{tail}" if mark and head in ("s3a", "s3n") else path)
 
 
 def member(data: bytes, level: int = 3) -> bytes:
@@ -92,22 +105,24 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Whole files, small ones together."""
-        store, root = pafs.FileSystem.from_uri(self.path)
-        found = sorted((x for x in store.get_file_info(pafs.FileSelector(root)) if x.is_file and x.base_name.endswith(".warc.gz")), key=lambda x: -x.size)
+        store, root = opened(self.path)
+        inside = store.get_file_info(pafs.FileSelector(root, recursive=True))
+        hidden = lambda x: any(part[:1] in "_." for part in x.path.removeprefix(root).strip("/").split("/"))
+        found = sorted((x for x in inside if x.is_file and x.path.endswith((".warc.gz", ".warc")) and not hidden(x)), key=lambda x: (-x.size, x.path))
         groups, room = [], 0
         for x in found:
             if not groups or room < x.size:
                 groups.append([])
                 room = self.partition_bytes
-            groups[-1].append(x.base_name)
+            groups[-1].append(x.path)
             room -= x.size
         return [Files(g) for g in groups] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(self.path)
+        store, _ = opened(self.path)
         rows, held = [], 0
-        for name in partition.paths:
-            with store.open_input_file(f"{root}/{name}") as file:
+        for path in partition.paths:
+            with store.open_input_file(path) as file:
                 for headers, payload in records(file, self.wants, lambda h: all(h.get(FIELDS[k]) in v for k, v in self.only.items())):
                     rows.append((headers, payload))
                     held += len(payload or b"") + 200
@@ -123,48 +138,85 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, [*FIELDS, "headers", "payload"])
 
 
+class Blocks:
+    """A file's bytes by place, read a block at a time; nothing is read that no one asks for beyond a block."""
+
+    def __init__(self, file) -> None:
+        self.file, self.size, self.start, self.held = file, file.size(), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``at``."""
+        n = min(n, self.size - at)
+        if at < self.start or at + n > self.start + len(self.held):
+            self.file.seek(at)
+            self.start, self.held = at, self.file.read(max(n, READ))
+        return self.held[at - self.start : at - self.start + n]
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
 def records(file, wants: bool, fits) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers with lower-case names, payload or None) of the records whose headers fit."""
-    at, size = 0, file.size()
-    while at < size:
-        file.seek(at)
-        block = file.read(BLOCK)
-        length = None
-        if block[3] & 4 and block[12:14] == b"sl":
-            length = struct.unpack_from("<I", block, 16)[0]
-        inflate = zlib.decompressobj(31)
-        data, rest, fed = b"", block, len(block)
-        while (head := data.find(b"\r\n\r\n")) < 0:  # 4096 bytes at a time
-            data += inflate.decompress(rest, 4096)
-            rest = inflate.unconsumed_tail
-            if not rest and not inflate.eof:
-                rest = file.read(BLOCK)
-                fed += len(rest)
-            if not rest and b"\r\n\r\n" not in data:
-                raise ValueError(f"the record at byte {at} ends within its headers")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in data[:head].decode("utf-8", "replace").split("\r\n")[1:])}
-        good = fits(headers)
-        if length is None or (good and wants):
-            parts = [data]
-            while not inflate.eof:
-                if not rest:
-                    rest = file.read(BLOCK)
-                    fed += len(rest)
-                    if not rest:
-                        raise ValueError(f"the record at byte {at} is cut short")
-                parts.append(inflate.decompress(rest))
-                rest = inflate.unconsumed_tail
-            end = at + fed - len(inflate.unused_data)
-            if length is not None and end != at + length:
-                raise ValueError(f"the record at byte {at} is not as long as it says")
-            if good:
-                body = b"".join(parts)[head + 4 :]
-                yield headers, body[: int(headers["content-length"])] if wants else None
-            at = end
-        else:
-            if good:
-                yield headers, None
-            at += length
+    blocks, at = Blocks(file), 0
+    while at < blocks.size:
+        headers, payload, at = (_member if blocks.get(at, 2) == b"\x1f\x8b" else _plain)(blocks, at, wants, fits)
+        if headers is not None:
+            yield headers, payload
+
+
+def _plain(blocks: Blocks, at: int, wants: bool, fits) -> tuple[dict[str, str] | None, bytes | None, int]:
+    n = BLOCK
+    while (head := (data := blocks.get(at, n)).find(b"\r\n\r\n")) < 0:
+        if at + n >= blocks.size:
+            raise ValueError(f"the record at byte {at} ends within its headers")
+        n *= 2
+    headers = _headers(data[:head])
+    length = int(headers["content-length"])
+    end = at + head + 4 + length
+    if end > blocks.size:
+        raise ValueError(f"the record at byte {at} is cut short")
+    good = fits(headers)
+    return headers if good else None, blocks.get(at + head + 4, length) if good and wants else None, end + 4
+
+
+def _member(blocks: Blocks, at: int, wants: bool, fits) -> tuple[dict[str, str] | None, bytes | None, int]:
+    start, length = blocks.get(at, 20), None
+    if start[3] & 4 and start[12:14] == b"sl":
+        length = struct.unpack_from("<I", start, 16)[0]
+    inflate = zlib.decompressobj(31)
+    rest = blocks.get(at, min(length or BLOCK, BLOCK))
+    data, fed = b"", len(rest)
+
+    def more() -> bytes:
+        nonlocal fed
+        found = blocks.get(at + fed, BLOCK) if at + fed < blocks.size else b""
+        fed += len(found)
+        return found
+
+    while (head := data.find(b"\r\n\r\n")) < 0:  # 4096 bytes at a time
+        rest = rest or more()
+        if not rest or inflate.eof:
+            raise ValueError(f"the record at byte {at} ends within its headers")
+        data += inflate.decompress(rest, 4096)
+        rest = inflate.unconsumed_tail
+    headers = _headers(data[:head])
+    good = fits(headers)
+    if length is not None and not (good and wants):
+        return headers if good else None, None, at + length
+    parts = [data]
+    while not inflate.eof:
+        rest = rest or more()
+        if not rest:
+            raise ValueError(f"the record at byte {at} is cut short")
+        parts.append(inflate.decompress(rest))
+        rest = inflate.unconsumed_tail
+    end = at + fed - len(inflate.unused_data)
+    if length is not None and end != at + length:
+        raise ValueError(f"the record at byte {at} is not as long as it says")
+    body = b"".join(parts)[head + 4 :][: int(headers["content-length"])] if good and wants else None
+    return headers if good else None, body, end
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -174,26 +226,29 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.level, self.draft = options["path"], int(options.get("level", 3)), f"_draft-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        store, root = pafs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         store.create_dir(f"{root}/{self.draft}", recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc.gz"
+        now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         with store.open_output_stream(f"{root}/{self.draft}/{name}", compression=None) as out:
             for batch in batches:
                 for row in zip(*[batch.column(c) for c in (*FIELDS, "headers", "payload")], strict=True):
                     *named, more, payload = [x.as_py() for x in row]
                     headers = [("WARC-Record-ID", named[0]), ("WARC-Type", named[1]), ("WARC-Target-URI", named[2]), ("WARC-Refers-To", named[3]), *(more or [])]
+                    if not any(k.lower() == "warc-date" for k, _ in headers):
+                        headers.append(("WARC-Date", now))
                     out.write(member(record(headers, payload or b""), self.level))
         return Written(name)
 
     def commit(self, messages) -> None:
-        store, root = pafs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         for m in messages:
             if m is not None:
                 store.move(f"{root}/{self.draft}/{m.name}", f"{root}/{m.name}")
         self.abort(messages)
 
     def abort(self, messages) -> None:
-        store, root = pafs.FileSystem.from_uri(self.path)
+        store, root = opened(self.path)
         if store.get_file_info(f"{root}/{self.draft}").type != pafs.FileType.NotFound:
             store.delete_dir(f"{root}/{self.draft}")
 
@@ -204,6 +259,7 @@ def write_warc(df: DataFrame, path: str) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """Records as READ_SCHEMA. Spark pushes filters to Python sources only if the session says so: it does from here on."""
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("quill_warc").option("payload", str(payload).lower()).load(path)
@@ -224,33 +280,28 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     firsts = digests.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(firsts, (rows["digest"] == firsts["_digest"]) & large, "left")
     again = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
-    urn = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")))
+    urn = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")))
+    facts = [F.lit("WARC-Payload-Digest"), F.concat(F.lit("sha256:"), F.col("digest")), F.lit("WARC-Payload-Length"), F.octet_length("payload").cast("string")]
+    profile = [F.lit("WARC-Profile"), F.when(again, SAME_PAYLOAD)]
     write_warc(
         joined.select(
             urn(F.col("page_id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"),
-            urn(F.when(again, F.col("_first"))).alias("refers_to"),
-            F.create_map(F.lit("WARC-Payload-Digest"), F.concat(F.lit("sha256:"), F.col("digest")), F.lit("WARC-Payload-Length"), F.octet_length("payload").cast("string")).alias("headers"),
-            F.when(~again, F.col("payload")).alias("payload"),
+            urn(F.when(again, F.col("_first"))).alias("refers_to"), F.create_map(*facts, *profile).alias("headers"), F.when(~again, F.col("payload")).alias("payload"),
         ),
         path,
     )
 
 
-def _id(urn):
-    return F.nullif(F.regexp_extract(urn, r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
-
-
-def page_records(archive: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): a response's from the payload as it was
-    read, a revisit's from its headers."""
+def page_records(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of an archive of pages with ids of type
+    ``kind``. Responses are read with their payloads, which give their facts; of revisits the headers alone are read."""
     header = lambda k: F.try_element_at("headers", F.lit(k))
-    whole = F.col("record_type") == "response"
-    return archive.select(
-        _id(F.col("record_id")).alias("page_id"),
-        F.when(whole, F.octet_length("payload").cast("long")).otherwise(header("warc-payload-length").cast("long")).alias("payload_bytes"),
-        F.when(whole, F.sha2("payload", 256)).otherwise(F.regexp_extract(header("warc-payload-digest"), r"^sha256:(\w+)$", 1)).alias("payload_digest"),
-        "record_type", _id(F.col("refers_to")).alias("refers_to"),
-    )
+    named = lambda urn: F.url_decode(F.nullif(F.regexp_extract(urn, "^<urn:page:(.*)>$", 1), F.lit(""))).cast(kind)
+    both = (named("record_id").alias("page_id"), "record_type", named("refers_to").alias("refers_to"))
+    whole = read_warc(spark, path).where(F.col("record_type") == "response").select(*both, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    bare = read_warc(spark, path, payload=False).where(F.col("record_type") == "revisit")
+    bare = bare.select(*both, header("warc-payload-length").cast("long").alias("payload_bytes"), F.regexp_extract(header("warc-payload-digest"), r"^sha256:(\w+)$", 1).alias("payload_digest"))
+    return whole.unionByName(bare).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -258,4 +309,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     archive_pages(pages, path, min_bytes)
-    return page_records(read_warc(spark, path))
+    return page_records(spark, path, pages.schema["page_id"].dataType.simpleString())
