@@ -1,5 +1,6 @@
 """The ten operators against SQL, the tokenizers library or brute force, on the small tables and on planted cases."""
 
+import functools
 import glob
 import math
 import os
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from quillgraph.llm import byte_cnn, host_rules, huffman, min_max, multi_index, packing, pieces, queries  # noqa: E402
 from quillgraph.llm.arrow import slices, texts, words  # noqa: E402
-from quillgraph.llm.shared import ship_package  # noqa: E402
 from quillgraph.llm.shards import ShardStore  # noqa: E402
+from quillgraph.session import ship_package  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables are not here")
@@ -46,12 +47,17 @@ def test_equals_sql(spark, name):
     assert rows(queries.OPERATORS[name](spark, FOLDER).toPandas()) == rows(con.execute(queries.SQL[name]).df())
 
 
-def library_ids(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(str(public_tokenizers.path(name)))
     made.encode_special_tokens = True
-    return made.encode(text or "", add_special_tokens=False).ids + [2]
+    return made
+
+
+def library_ids(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
