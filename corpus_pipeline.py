@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import byte_cnn, host_rules, min_max, packing
 from quillgraph.llm.queries import table, tokenizer
-from quillgraph.llm.shared import ship_package, stage
+from quillgraph.session import ship_package, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
