@@ -13,7 +13,8 @@ Reading: each block decodes by itself; within it the checkpoints let numpy decod
 table look-up a token.
 
 The driver holds the vocabulary's counts and one row a part. Defined results: a null or empty text is the
-end id alone; null keys come first; repeated keys are kept, ordered by text; an empty table gives empty files.
+end id alone; null keys come first; repeated keys are kept, ordered by a hash of their text, and may lie in several
+parts; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop, stage
 from .arrow import slices, texts
-from .tokens import binary_rows, encoder, with_end
+from .tokens import TextEncoder, binary_rows, encoder, with_end
 
 STRIDE = 256
 BLOCK_TOKENS = 1 << 16
@@ -113,10 +114,14 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: st
     """A stage table (part, key, start in its part, n, ids) in ascending key order within and across parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part_id, before = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        with encoder(tokenizer) as codes:
+            yield from encoded(codes, batches)
+
+    def encoded(codes: TextEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_id, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "_text"):
-                flat, counts = with_end(*encode(texts(part, "_text")), end_id)
+                flat, counts = with_end(*codes.encode(texts(part, "_text")), end_id)
                 start = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
                 small = flat.astype("<u2") if flat.max(initial=0) < 1 << 16 else flat.astype("<u4")
@@ -124,8 +129,8 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), part_id, np.int32)), part.column(0), pa.array(start, pa.int64()), pa.array(counts, pa.int64()), ids], ["part", key, "start", "n", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    ranged = docs.select(key, F.col(text).alias("_text")).repartitionByRange(key).sortWithinPartitions(key, "_text")
-    return stage(ranged.mapInArrow(run, f"part int, `{key}` {kind}, start long, n long, ids binary"), "ids")
+    ranged = docs.select(key, F.col(text).alias("_text"), F.xxhash64(text).alias("_tie")).repartitionByRange(key, "_tie").sortWithinPartitions(key, "_tie", "_text")
+    return stage(ranged.drop("_tie").mapInArrow(run, f"part int, `{key}` {kind}, start long, n long, ids binary"), "ids")
 
 
 def ids_of(cell, n: int) -> np.ndarray:

@@ -17,6 +17,8 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 
 from .arrow import words
 
-MOST_CHUNKS = 600_000  # a task's memory; forgotten beyond it, without a change of results
+MOST_CHUNKS = 400_000  # a task's memory; forgotten beyond it, without a change of results
 ANY_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 LATIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 SPACED = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -52,7 +54,7 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.kind = self.tokenizer.model, self._kind(json.loads(self.tokenizer.to_str()))
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self._forget()
+        self.forget()
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -67,15 +69,16 @@ class TextEncoder:
                 return "unspaced"
         return "whole"
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of what was encoded; results do not change."""
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.starts = array("i"), array("q", [0])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids of each) of a large_string column without nulls."""
         if len(self.known) > MOST_CHUNKS:
-            self._forget()
+            self.forget()
         n = len(column)
         if self.kind == "whole":
             each = [e.ids for e in self.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
@@ -133,36 +136,43 @@ class TextEncoder:
             i = known.get(chunk)
             if i is None:
                 i = known[chunk] = len(known)
-                self.flat.extend(self._ids(chunk))
+                self.flat.frombytes(self._ids(chunk))
                 self.starts.append(len(self.flat))
             out[k] = i
         return out
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isalpha() and self.kind == "unspaced":
-            return [t.id for t in self.model.tokenize(chunk.lower())]
+            return self._model_ids(chunk.lower())
         if not LATIN.fullmatch(chunk):
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if self.kind == "unspaced":
             chunk = chunk.lower()
-        found: list[int] = []
+        found = []
         for piece in (SPACED if self.kind == "spaced" else UNSPACED).findall(chunk):
             ids = self.pieces.get(piece)
             if ids is None:
                 spelt = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(spelt)]
-            found += ids
-        return found
+                ids = self.pieces[piece] = self._model_ids(spelt)
+            found.append(ids)
+        return b"".join(found)
+
+    def _model_ids(self, spelt: str) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
 
 _encoders: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder a worker process."""
+@contextmanager
+def encoder(path: str) -> Iterator[TextEncoder]:
+    """One encoder a worker process; a task leaves no more than the vocabulary in its memory."""
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].forget()
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
