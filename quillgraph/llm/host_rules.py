@@ -29,6 +29,7 @@ from .arrow import slices, texts, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
+SLICE = 2 << 20
 SPACES = b" \t\n\x0b\f\r"
 NOT_COUNTED = SPACES + bytes(range(0x80, 0xC0))  # continuation bytes: what is left is one byte a code point
 
@@ -67,7 +68,7 @@ def _times_inside(same: np.ndarray, inside: np.ndarray, n: int) -> np.ndarray:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             counts = text_counts(texts(part, "text"))
             kept = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *map(pa.array, counts.values())], [*kept, *counts])
@@ -130,11 +131,9 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = pa.RecordBatch.from_arrays(batch.columns, [f"c{k}" for k in range(batch.num_columns)])
-            for part in slices(batch, f"c{at}"):
-                n = text_counts(texts(part, f"c{at}"))
-                yield pa.RecordBatch.from_arrays(part.filter(pa.array(~base_failed(n["n_words"], n["n_repeat_words"], min_words, max_repeat_percent))).columns, docs_columns)
+            for part in slices(batch, at, SLICE):
+                n = text_counts(texts(part, at))
+                yield part.filter(pa.array(~base_failed(n["n_words"], n["n_repeat_words"], min_words, max_repeat_percent)))
 
-    docs_columns = docs.columns
     kept = docs.mapInArrow(good, docs.schema)
     return kept.join(gone, kept[f"`{host}`"] == gone["_host"], "left_anti")
