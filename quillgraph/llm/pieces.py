@@ -41,9 +41,9 @@ from .arrow import slices, texts
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-SLICE = 1 << 20
+SLICE = 1 << 19
 IDS = 1 << 18
-MOST_EDGES = 5_000_000  # a task's memory; forgotten beyond it, without a change of results
+MOST_EDGES = 4_000_000  # a task's memory; forgotten beyond it, without a change of results
 C1, C2, C3, C4, C5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 FIRST, STEP, NODE, EDGE, BEFORE, SIBLING, AFTER, INSIDE = range(8)  # purposes of random numbers
 
