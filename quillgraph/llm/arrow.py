@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``most`` bytes in each part; a longer text stands alone."""
     if not batch.num_rows:
         return
@@ -24,7 +24,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
-def texts(batch: pa.RecordBatch, column: str) -> pa.Array:
+def texts(batch: pa.RecordBatch, column: str | int) -> pa.Array:
     """The column as large_string, null as empty. Its data are copied: ascii_lower misreads offsets that do not start at
     zero, as a slice's do."""
     own = batch.column(column).take(pa.array(np.arange(batch.num_rows)))

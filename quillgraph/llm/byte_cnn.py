@@ -177,9 +177,9 @@ def add_score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column("_text").cast(pa.large_string())]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(score(shared.value, raws), pa.float64())], [*kept, "score"])
+            for part in slices(batch, len(kept)):
+                raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(len(kept)).cast(pa.large_string())]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(kept))], pa.array(score(shared.value, raws), pa.float64())], [*kept, "score"])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept], "score double"])
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
@@ -205,7 +205,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, at):
                 raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(at).cast(pa.large_string())]
                 yield part.filter(pa.array(score(shared.value, raws) >= threshold))
 
