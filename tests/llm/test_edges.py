@@ -62,7 +62,8 @@ def test_token_file_edges(spark, tmp_path):
     huffman.write_tokens(df, f"file://{tmp_path}/t", queries.tokenizer("word_bpe_49k.json"))
     got = sorted(((r["doc_id"] is not None, r["doc_id"], r["start"]), r["n_tokens"], bytes(r["ids"])) for r in huffman.read_tokens(spark, f"file://{tmp_path}/t").collect())
     wanted, at = [], 0
-    for key, text in sorted(made, key=lambda x: (x[0] is not None, x[0], x[1] is not None, x[1])):
+    ties = {r["text"]: r["tie"] for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    for key, text in sorted(made, key=lambda x: (x[0] is not None, x[0], ties[x[1]])):
         ids = library_ids("word_bpe_49k.json", text)
         wanted.append(((key is not None, key, at), len(ids), struct.pack(f"<{len(ids)}I", *ids)))
         at += len(ids)
