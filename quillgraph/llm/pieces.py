@@ -3,9 +3,9 @@
 A text's lattice has a node at each character and an edge for each vocabulary piece that spells what lies between two
 nodes; a character outside the vocabulary is a chain of byte pieces. A piece weighs ``(2 + rank) ** -alpha``, the rank
 being its place in the model by score, and a segmentation's probability is proportional to its pieces' weights.
-No piece holds a space after another character, so the lattice of a text is a chain of the lattices of its units (spaces
-and what follows them); a unit's backward sums, which turn weights into exact probabilities of each next edge, are
-computed once a distinct unit.
+Between two characters that stand side by side in no piece no edge passes, so the lattice of a text is a chain of the
+lattices of its units, cut there (before most spaces, at signs, within rare words); a unit's backward sums, which turn
+weights into exact probabilities of each next edge, are computed once a distinct unit.
 
 Gumbel top-k by a perturbed A* search. The frontier holds sets of segmentations: those that leave a path met before
 at one of a range of its nodes, by an edge not yet taken. A set's priority is its perturbed log-probability, the maximum
@@ -28,7 +28,6 @@ segmentations gives them all, each with inclusion 1; equal keys and texts give e
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +39,9 @@ from pyspark.sql import functions as F
 from .arrow import slices, texts
 
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SLICE = 1 << 19
 IDS = 1 << 18
-MOST_EDGES = 4_000_000  # a task's memory; forgotten beyond it, without a change of results
+MOST_EDGES = 5_000_000  # a task's memory; forgotten beyond it, without a change of results
 C1, C2, C3, C4, C5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 FIRST, STEP, NODE, EDGE, BEFORE, SIBLING, AFTER, INSIDE = range(8)  # purposes of random numbers
 
@@ -168,6 +166,13 @@ class Lattices:
         by_score = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.trie = Trie({model.id_to_piece(i): (i, (2.0 + rank) ** -alpha) for rank, i in enumerate(by_score)})
         self.rare = (2.0 + n) ** -alpha
+        joined = [model.id_to_piece(i) for i in plain if len(model.id_to_piece(i)) > 1]
+        letters = sorted({c for p in joined for c in p})
+        self.letter = np.zeros(0x110000, np.int32)  # its number among those that stand beside another in a piece; 0: none
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        pairs = self.letter[np.array([(ord(a), ord(b)) for p in joined for a, b in zip(p, p[1:], strict=False)])]
+        self.beside[pairs[:, 0], pairs[:, 1]] = True
         raw = [b""] * n
         for i in plain:
             raw[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
@@ -183,9 +188,10 @@ class Lattices:
         self.first, self.piece, self.to, self.log, self.upto = map(Grown, "iiidd")
         self.first.extend(np.zeros(1, np.int32))  # of each node, its first edge; one more at the end
 
-    def add(self, units: list[str]) -> None:
-        """Add the lattices of distinct ``units``, not empty. A unit's nodes are its characters and its end, one after
-        another; the nodes inside byte chains follow those of all units."""
+    def add(self, units: list[str]) -> np.ndarray:
+        """Add the lattices of distinct ``units``, not empty; their first nodes. A unit's nodes are its characters and its
+        end, one after another; the nodes inside byte chains follow those of all units. An edge to a unit's end leads to
+        the node's number below -1 (``~``)."""
         sizes = np.array([len(u) for u in units])
         cp = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         unit = np.repeat(np.arange(len(units)), sizes)
@@ -224,10 +230,15 @@ class Lattices:
         base = len(self.first) - 1
         self.first.extend(len(self.piece) + np.cumsum(np.concatenate([counts, np.ones(len(chain_node), np.int64)])))
         self.piece.extend(np.concatenate([piece, chain_piece]))
-        self.to.extend(base + np.concatenate([to, chain_to]))
+        last = np.zeros(n_nodes + len(chain_node), bool)
+        last[np.cumsum(sizes) + np.arange(len(units))] = True
+        to = np.concatenate([to, chain_to])
+        self.to.extend(np.where(last[to], ~(base + to), base + to))
         self.log.extend(np.concatenate([np.log(chance), np.zeros(len(chain_node))]))
         self.upto.extend(base + np.concatenate([node[source] + upto, chain_node + 1.0]))
-        self.start.update(zip(units, (base + np.cumsum(sizes) - sizes + np.arange(len(units))).tolist(), strict=True))
+        starts = base + np.cumsum(sizes) - sizes + np.arange(len(units))
+        self.start.update(zip(units, starts.tolist(), strict=True))
+        return starts
 
     @staticmethod
     def _chances(source: np.ndarray, weight: np.ndarray, node: np.ndarray, to: np.ndarray, distance: np.ndarray, n_nodes: int) -> np.ndarray:
@@ -250,40 +261,39 @@ class Lattices:
             chance[edges] = value / total[each]
         return chance
 
+    def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(text of each unit, its index among the distinct units, those)."""
+        marked = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), pc.replace_substring(column, " ", SPACE), pa.scalar("", pa.large_string()))
+        ends = np.cumsum(pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64))
+        data = pa.py_buffer(np.frombuffer(marked.buffers()[2], np.uint8)[: ends[-1] if len(ends) else 0])
+        cp = np.frombuffer(data.to_pybytes().decode().encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
+        place = np.concatenate([[0], place])  # of each character in the bytes, and their end
+        letters = self.letter[cp]
+        heads = np.ones(len(cp), bool)
+        heads[1:] = ~self.beside[letters[:-1], letters[1:]]
+        texts = np.searchsorted(place, np.concatenate([[0], ends[:-1]])) if len(ends) else np.zeros(0, np.int64)
+        heads[texts] = True
+        first = np.flatnonzero(heads)
+        offsets = np.concatenate([place[first], place[-1:]]).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), data).dictionary_encode()
+        row = np.searchsorted(texts, first, side="right") - 1
+        return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
     def starts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(first node of each unit of each text in order, units of each text)."""
-        row, code, units = _units(column)
-        known = self.start
-        new = [u for u in units if u not in known]
-        if new:
-            self.add(new)
-        at = np.array([known[u] for u in units], np.int64)
+        row, code, units = self.units(column)
+        known = self.start.get
+        at = np.array([known(u, -1) for u in units], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self.add([units[k] for k in new.tolist()])
         return at[code], np.bincount(row, minlength=len(column))
 
     def views(self) -> tuple[np.ndarray, ...]:
         return tuple(a.view() for a in (self.first, self.piece, self.to, self.log, self.upto))
 
 
-def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(text of each unit, its index among the distinct units, those). Where spaces stand alone between other
-    characters, Arrow splits; other texts are split one by one."""
-    odd = pc.match_substring_regex(column, f"^ |  | $|{SPACE}").to_numpy(zero_copy_only=False)
-    plain = np.flatnonzero(~odd)
-    lists = pc.split_pattern(column.take(pa.array(plain)), " ")
-    coded = lists.flatten().dictionary_encode()
-    row = np.repeat(plain, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    units = dict.fromkeys(SPACE + x for x in coded.dictionary.to_pylist())
-    if odd.any():
-        parts = [UNIT.findall((SPACE + column[int(k)].as_py()).replace(" ", SPACE)) for k in np.flatnonzero(odd)]
-        places = {u: k for k, u in enumerate(dict.fromkeys([*units, *(u for each in parts for u in each)]))}
-        row = np.concatenate([row, np.repeat(np.flatnonzero(odd), [len(x) for x in parts])])
-        code = np.concatenate([code, np.array([places[u] for each in parts for u in each], np.int64)])
-        order = np.argsort(row, kind="stable")
-        row, code, units = row[order], code[order], places
-    return row, code, list(units)
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers of each range, one range after another."""
     ends = np.cumsum(counts)
@@ -330,10 +340,11 @@ class Search:
         self.last_unit = np.cumsum(counts)
 
     def walk(self, units: np.ndarray, nodes: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-        """Follow edges at random from each unit's node to the unit's end: (edges, places among ``units``) in order."""
+        """Follow edges at random from each unit's node, below 0 at its end, to the end: (edges, places among ``units``)
+        in order."""
         edges, owners = [], []
         lengths = np.zeros(len(units), np.int64)
-        live = np.flatnonzero(self.first[nodes + 1] > self.first[nodes])
+        live = np.flatnonzero(nodes >= 0)
         now, step = nodes[live], 0
         keys, numbers = self.keys[self.text[units]], self.number[units]
         while len(live):
@@ -342,7 +353,7 @@ class Search:
             owners.append(live)
             now, step = self.to[edge], step + 1
             lengths[live] = step
-            go = self.first[now + 1] > self.first[now]
+            go = np.flatnonzero(now >= 0)
             live, now = live[go], now[go]
         out = np.empty(int(lengths.sum()), np.int64)
         starts = np.cumsum(lengths) - lengths
