@@ -1,7 +1,12 @@
 """Documents to packed training sequences: four stages, each one operator over all that its predecessor kept.
 
 Quality rules and the classifier drop the documents they reject, near-dedup keeps one document of each group, and
-packing lays what is left into sequences. All but the last return the columns of ``documents``.
+packing lays what is left into sequences. All but the last return the columns of ``documents``, whatever further columns
+it has and however they are named.
+
+Defined results: rows are judged each, also where keys are null or repeated. A null or empty text fails the rules;
+given to a later stage, it gets a score, is nobody's duplicate, and is a sequence's worth of one end id. Without labels
+of both kinds the classifier keeps all, or none if all labels are 0. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import byte_cnn, host_rules, min_max, packing
 from quillgraph.llm.queries import table, tokenizer
-from quillgraph.session import ship_package, stage
+from quillgraph.session import drop, ship_package, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, name.lower().replace(" ", "-"))
+            drop(*before)
+            before = [docs]
     return docs
