@@ -1,14 +1,17 @@
 """Graph patterns to one lazy DataFrame.
 
 A pattern is ``(subject, path, object)``: a term is ``?name`` for a variable, else a constant; the path is a predicate,
-a variable, or a combination (``functions.paths``). A pattern becomes a filtered, renamed (s, o) relation; patterns are
-natural-joined on all variables they share. What to broadcast and in which order stages run is left to Catalyst and
-adaptive execution. Only ``+`` and ``*`` run jobs while a plan is made; they start from the bound end, if any.
+a variable, or a combination (``functions.paths``). A pattern becomes a renamed (s, o) relation, narrowed by its
+constants in the graph; patterns are natural-joined on all variables they share. Patterns with few open ends come first.
+A pattern that would otherwise read everything (a path that repeats, an open predicate) waits until others have bound
+one of its ends, and then starts from those bindings alone, which are a stage table. What to broadcast and in which
+order stages run is left to Catalyst and adaptive execution. Only such patterns run jobs while a plan is made.
 
 Defined results: bindings are sets; an unknown constant or predicate matches nothing; one variable twice in a pattern
 asks for equal terms; patterns without shared variables are a product; a pattern without variables keeps all solutions
 or none; no pattern at all has one solution without columns; a zero-length path holds for the bound end even if the
-graph does not know it, and for every node if both ends are open.
+graph does not know it, and for every node if both ends are open; a selected variable that no pattern has is an error;
+a literal and an IRI with the same text are one node.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import Alt, Inverse, Path, Pred, Repeat, Seq, pred
 from ..functions.terms import is_variable
-from ..plans.graph import Graph
+from ..plans.graph import Bound, Graph
+from ..session import stage
 from .closure import compose, plus
 
 Pattern = tuple[str, "Path | str", str]
@@ -39,31 +43,28 @@ def either(*groups: Sequence[Pattern | Either]) -> Either:
     return Either(groups)
 
 
-def relation(graph: Graph, path: Path, start: DataFrame | None = None) -> DataFrame:
-    """(s, o) of a path, each once; ``start`` (s): only from these."""
+def relation(graph: Graph, path: Path, start: Bound = None) -> DataFrame:
+    """(s, o) of a path, each once; ``start``: only from this term, or from these nodes (s)."""
     if isinstance(path, Pred):
-        found = graph.edges(path.name)
-        return found if start is None else found.join(start, "s", "left_semi")
+        return graph.edges(path.name, s=start)
+    if isinstance(path, Inverse):
+        if isinstance(path.path, Pred):
+            return _swap(graph.edges(path.path.name, o=start))
+        return relation(graph, reverse(path.path), start)
     if isinstance(path, Seq):
         first = relation(graph, path.first, start)
         middle = first.select(F.col("o").alias("s")).distinct() if start is not None else None
         return compose(first, relation(graph, path.second, middle))
     if isinstance(path, Alt):
         return relation(graph, path.first, start).union(relation(graph, path.second, start)).distinct()
-    if isinstance(path, Inverse):
-        return _from(_swap(relation(graph, path.path)), start)
     if not isinstance(path, Repeat):
         raise TypeError(f"not a path: {path!r}")
-    step = relation(graph, path.path)
-    some = plus(step, start) if path.many else _from(step, start)
+    ends = graph.spark.createDataFrame([(start,)], "s string") if isinstance(start, str) else start
+    some = plus(lambda nodes: relation(graph, path.path, nodes), ends) if path.many else relation(graph, path.path, start)
     if not path.zero:
         return some
-    ends = graph.nodes().select(F.col("node").alias("s")) if start is None else start
-    return some.union(ends.select("s", F.col("s").alias("o"))).distinct()
-
-
-def _from(edges: DataFrame, start: DataFrame | None) -> DataFrame:
-    return edges if start is None else edges.join(start, "s", "left_semi")
+    known = graph.nodes().toDF("s") if ends is None else ends.distinct()
+    return some.union(known.select("s", F.col("s").alias("o"))).distinct()
 
 
 def _swap(edges: DataFrame) -> DataFrame:
@@ -81,34 +82,63 @@ def reverse(path: Path) -> Path:
     return path.path if isinstance(path, Inverse) else Inverse(path)
 
 
-def solutions(graph: Graph, pattern: Pattern) -> DataFrame:
-    """A column, without the ``?``, for each variable of one pattern."""
+def solutions(graph: Graph, pattern: Pattern, bound: DataFrame | None = None) -> DataFrame:
+    """A column, without the ``?``, for each variable of one pattern. ``bound``: bindings that it is to be joined to; if
+    they bind an end, the pattern may start from them."""
     s, p, o = pattern
     terms = {"s": s, "o": o}
+
+    def end(term: str) -> Bound:
+        if not is_variable(term):
+            return graph.full(term)
+        return bound.select(F.col(term[1:]).alias("s")).distinct() if bound is not None and term[1:] in bound.columns and _open(pattern) else None
+
     if isinstance(p, str) and is_variable(p):
-        found, terms = graph.triples(), {"s": s, "p": p, "o": o}
-    elif not is_variable(s):
-        found = relation(graph, pred(p), graph.spark.createDataFrame([(graph.full(s),)], "s string") if _repeats(pred(p)) else None)
-    elif not is_variable(o) and _repeats(pred(p)):
-        found = _swap(relation(graph, reverse(pred(p)), graph.spark.createDataFrame([(graph.full(o),)], "s string")))
+        found, terms = graph.triples(end(s), end(o)), {"s": s, "p": p, "o": o}
+    elif isinstance(pred(p), Pred):
+        found = graph.edges(pred(p).name, end(s), end(o))
+    elif end(s) is None and end(o) is not None:
+        found = _swap(relation(graph, reverse(pred(p)), end(o)))
     else:
-        found = relation(graph, pred(p))
+        found = relation(graph, pred(p), end(s))
     places: dict[str, list[str]] = {}
     for place, term in terms.items():
         if is_variable(term):
             places.setdefault(term[1:], []).append(place)
         else:
             found = found.where(F.col(place) == graph.full(term))
+    found = same_terms(found, places)
+    if not places:
+        return found.select(F.lit(1).alias("_hit")).limit(1).drop("_hit")
+    return found.select(*[F.col(at[0]).alias(name) for name, at in places.items()])  # of a set, without what is fixed: a set
+
+
+def same_terms(found: DataFrame, places: dict[str, list[str]]) -> DataFrame:
+    """The rows whose columns agree where one variable stands in several places."""
     for first, *others in places.values():
         for other in others:
             found = found.where(F.col(first) == F.col(other))
-    if not places:
-        return found.select(F.lit(1).alias("_hit")).limit(1).drop("_hit")
-    return found.select(*[F.col(at[0]).alias(name) for name, at in places.items()]).distinct()
+    return found
 
 
 def _repeats(path: Path) -> bool:
-    return isinstance(path, Repeat) or isinstance(path, Inverse) and _repeats(path.path) or isinstance(path, (Seq, Alt)) and (_repeats(path.first) or _repeats(path.second))
+    return isinstance(path, Repeat) and path.many or isinstance(path, (Inverse, Repeat)) and _repeats(path.path) or isinstance(path, (Seq, Alt)) and (_repeats(path.first) or _repeats(path.second))
+
+
+def _open(pattern: Pattern) -> bool:
+    """Whether a pattern reads far more than an edge's worth unless an end is bound."""
+    return isinstance(pattern[1], str) and is_variable(pattern[1]) or _repeats(pred(pattern[1]))
+
+
+def variables(where: Sequence[Pattern | Either]) -> list[str]:
+    """The variables' names in order of appearance."""
+    names: dict[str, None] = {}
+    for w in where:
+        if isinstance(w, Either):
+            names |= dict.fromkeys(v for g in w.groups for v in variables(g))
+        else:
+            names |= dict.fromkeys(t[1:] for t in w if isinstance(t, str) and is_variable(t))
+    return list(names)
 
 
 def _join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -117,46 +147,60 @@ def _join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def match(graph: Graph, where: Sequence[Pattern | Either]) -> DataFrame:
-    """All variables' bindings, each combination once. Parts that share a variable with those before them are joined
-    first, so that a product is made only where the pattern asks for one."""
-    left = [_part(graph, w) for w in where]
+    """All variables' bindings, each combination once, columns in order of appearance. Parts that share a variable with
+    those before them are joined first, so that a product is made only where the pattern asks for one; of these, parts
+    that do not need bindings to start from; then those with fewest variables still open."""
+    left, out = list(where), None
     if not left:
         return graph.spark.range(1).select()
-    out = left.pop(0)
+
+    def cost(part: Pattern | Either) -> tuple[bool, bool, int]:
+        names = set(variables([part]))
+        bound = names & set(out.columns) if out is not None else set()
+        return out is not None and not bound, not isinstance(part, Either) and _open(part), len(names - bound)
+
     while left:
-        at = next((k for k, part in enumerate(left) if set(part.columns) & set(out.columns)), 0)
-        out = _join(out, left.pop(at))
-    return out.distinct() if out.columns else out
+        part = min(left, key=cost)
+        left.remove(part)
+        if out is not None and not isinstance(part, Either) and _open(part) and set(variables([part])) & set(out.columns):
+            out = stage(out, "bindings")  # both the pattern's start and the join read it
+        made = _part(graph, part, out)
+        out = made if out is None else _join(out, made)
+    return out.select(*variables(where))
 
 
-def _part(graph: Graph, part: Pattern | Either) -> DataFrame:
+def _part(graph: Graph, part: Pattern | Either, bound: DataFrame | None) -> DataFrame:
     if not isinstance(part, Either):
-        return solutions(graph, part)
+        return solutions(graph, part, bound)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [match(graph, g) for g in part.groups]).distinct()
 
 
-def select(graph: Graph, variables: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
-    """Distinct bindings of the variables (``?x`` or ``x``; none or ``*``: all, in order of appearance)."""
+def select(graph: Graph, names: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
+    """Distinct bindings of the variables ``names`` (``?x`` or ``x``; none or ``*``: all, in order of appearance)."""
     found = match(graph, where)
-    names = [v.lstrip("?") for v in variables]
-    return found if names in ([], ["*"]) else found.select(*names).distinct()
+    chosen = [v.lstrip("?") for v in names]
+    if chosen in ([], ["*"]):
+        return found
+    if missing := [v for v in chosen if v not in found.columns]:
+        raise ValueError(f"no pattern has the variables {', '.join('?' + v for v in missing)}")
+    return found.select(*chosen) if set(chosen) == set(found.columns) else found.select(*chosen).distinct()
 
 
-def count(graph: Graph, variables: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
+def count(graph: Graph, names: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
     """One row: the number of distinct bindings."""
-    return select(graph, variables, where).agg(F.count(F.lit(1)).alias("count"))
+    return select(graph, names, where).agg(F.count(F.lit(1)).alias("count"))
 
 
-def select_from(graphs: dict[str, Graph], names: Sequence[str] | None, variables: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
+def select_from(graphs: dict[str, Graph], names: Sequence[str] | None, chosen: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
     """Each named graph's distinct bindings, one after another, with the graph's name in ``g``. Names that are not
     there are passed over; None: all."""
-    chosen = [n for n in graphs if names is None or n in names]
-    if not chosen:
+    there = [n for n in graphs if names is None or n in names]
+    if not there:
         raise ValueError("none of the named graphs exists")
-    found = [select(graphs[n], variables, where).withColumn("g", F.lit(n)) for n in chosen]
+    found = [select(graphs[n], chosen, where).withColumn("g", F.lit(n)) for n in there]
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-def count_from(graphs: dict[str, Graph], names: Sequence[str] | None, variables: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
+def count_from(graphs: dict[str, Graph], names: Sequence[str] | None, chosen: Sequence[str], where: Sequence[Pattern | Either]) -> DataFrame:
     """One row: the number of bindings that are distinct over all named graphs."""
-    return select_from(graphs, names, variables, where).drop("g").distinct().agg(F.count(F.lit(1)).alias("count"))
+    return select_from(graphs, names, chosen, where).drop("g").distinct().agg(F.count(F.lit(1)).alias("count"))

@@ -44,22 +44,25 @@ def graph_dot(graph: Graph) -> DataFrame:
 
 def class_edges(graph: Graph) -> DataFrame:
     """(s, o): subclass edges from named classes, without blank nodes."""
-    classes = graph.edges(TYPE).where(F.col("o") == CLASS).select("s").distinct()
-    return graph.edges(SUBCLASS).join(classes, "s", "left_semi").where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:")).distinct()
+    classes = graph.edges(TYPE, o=CLASS).select("s")
+    return graph.edges(SUBCLASS, s=classes).where(~F.col("s").startswith("_:") & ~F.col("o").startswith("_:"))
 
 
 def class_dot(graph: Graph) -> DataFrame:
     return _dot(class_edges(graph).select(short(graph, "s").alias("s"), F.lit("").alias("label"), short(graph, "o").alias("o")), "classes")
 
 
-def result_class_edges(graph: Graph, found: DataFrame) -> DataFrame:
-    """(s, p, o) between classes: for each node that a result names, edges from its classes to those of its neighbours."""
-    nodes = found.select(F.explode(F.array(*found.columns)).alias("s")).distinct()
-    types = graph.edges(TYPE).where(F.col("o") != CLASS)
-    out = graph.triples().where(F.col("p") != TYPE).join(nodes, "s", "left_semi")
-    from_class = types.select("s", F.col("o").alias("_from"))
-    to_class = types.select(F.col("s").alias("o"), F.col("o").alias("_to"))
-    return out.join(from_class, "s").join(to_class, "o").select(F.col("_from").alias("s"), "p", F.col("_to").alias("o")).distinct()
+def result_class_edges(graph: Graph, found: DataFrame, kept: Sequence[str] = ("uuid",)) -> DataFrame:
+    """(s, p, o) between classes: for each node that a result names, edges from its classes to those of its neighbours.
+    Predicates with a local name in ``kept`` lead to a node of their own name, whatever their objects are."""
+    nodes = found.select(F.explode(F.array(*found.columns)).alias("s")).dropna().distinct()
+    from_class = graph.edges(TYPE, s=nodes).select("s", F.col("o").alias("_from"))
+    out = graph.triples(s=nodes).where(F.col("p") != TYPE).join(from_class, "s")
+    neighbours = out.select(F.col("o").alias("s")).distinct()
+    to_class = graph.edges(TYPE, s=neighbours).where(F.col("o") != CLASS).select(F.col("s").alias("o"), F.col("o").alias("_to"))
+    between = out.join(to_class, "o").select(F.col("_from").alias("s"), "p", F.col("_to").alias("o"))
+    alone = out.where(local_name(F.col("p")).isin(list(kept))).select(F.col("_from").alias("s"), "p", F.col("p").alias("o"))
+    return between.union(alone).distinct()
 
 
 def result_class_dot(graph: Graph, found: DataFrame) -> DataFrame:
@@ -67,6 +70,24 @@ def result_class_dot(graph: Graph, found: DataFrame) -> DataFrame:
     return _dot(edges.select(short(graph, "s").alias("s"), short(graph, "p").alias("label"), short(graph, "o").alias("o")).distinct(), "result")
 
 
+def turtle_lines(graph: Graph) -> DataFrame:
+    """(value): a Turtle file of the graph. Terms that look like IRIs are in marks, shortened where a prefix is known and
+    the rest is plain; blank nodes as they are; others are literals."""
+
+    def term(column: str):
+        c = F.col(column)
+        name = abbreviate(c, graph.prefixes)
+        quoted = c
+        for mark, spelt in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            quoted = F.replace(quoted, F.lit(mark), F.lit(spelt))
+        iri = c.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:[^\s<>\"{}|\\^`]*$")
+        return F.when(name.rlike(r"^[A-Za-z][\w-]*:[A-Za-z_][\w-]*$"), name).when(c.rlike(r"^_:[\w-]+$"), c).when(iri, F.concat(F.lit("<"), c, F.lit(">"))).otherwise(F.concat(F.lit('"'), quoted, F.lit('"')))
+
+    head = graph.spark.createDataFrame([(0, f"@prefix {k}: <{v}> .") for k, v in sorted(graph.prefixes.items())], "part int, value string")
+    body = graph.triples().select(F.lit(1).alias("part"), F.concat_ws(" ", term("s"), term("p"), term("o"), F.lit(".")).alias("value"))
+    return head.union(body).orderBy("part", "value").select("value")
+
+
 def pattern_dot(variables: Sequence[str], where: Sequence[Pattern | Either]) -> str:
     """A query's patterns, one edge each, selected variables coloured."""
     names = {v if is_variable(v) else f"?{v}" for v in variables}

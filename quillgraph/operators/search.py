@@ -11,7 +11,7 @@ from ..plans.graph import Graph
 
 def class_words(graph: Graph) -> DataFrame:
     """(term, word, n, n_words): the words of the local name of each owl:Class, lower-cased, split at ``_`` and spaces."""
-    classes = graph.edges(TYPE).where(F.col("o") == CLASS).select(F.col("s").alias("term")).distinct()
+    classes = graph.edges(TYPE, o=CLASS).select(F.col("s").alias("term"))
     words = F.split(F.lower(local_name(F.col("term"))), "[_\\s]+")
     one_each = classes.select("term", F.filter(words, lambda w: w != "").alias("words")).select("term", F.size("words").alias("n_words"), F.explode("words").alias("word"))
     return one_each.groupBy("term", "word", "n_words").agg(F.count(F.lit(1)).alias("n"))

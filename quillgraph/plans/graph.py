@@ -1,39 +1,65 @@
 """Graphs: what a pattern is matched against.
 
-A graph gives, for each predicate, a lazy ``(s, o)`` DataFrame, and the union of all as ``(s, p, o)``. ``TripleGraph``
-keeps triples in one DataFrame (partitioned by predicate when saved, so that a bound predicate reads its folder alone);
+A graph gives, for each predicate, a lazy ``(s, o)`` DataFrame, and the union of all as ``(s, p, o)``. Either end may be
+bound, to a term or to a DataFrame of nodes; the graph narrows what it reads as early as it can. ``TripleGraph`` keeps
+triples in one DataFrame (partitioned by predicate when saved, so that a bound predicate reads its folder alone);
 ``TableGraph`` maps each predicate to columns of relational tables, which are never turned into triples unless a
 pattern leaves the predicate open. All are sets: an edge counts once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import STANDARD, expand
+from ..session import file_system
 
 NODE = "node"
+Bound = str | DataFrame | None  # a term, nodes (one column), or anything
+
+
+def nodes_of(bound: DataFrame) -> DataFrame:
+    return bound.toDF("_bound")
+
+
+def narrowed(edges: DataFrame, ends: dict[str, Bound]) -> DataFrame:
+    """The rows whose column is the term, or one of the nodes, that it is bound to."""
+    for column, bound in ends.items():
+        if isinstance(bound, str):
+            edges = edges.where(F.col(column) == bound)
+        elif bound is not None:
+            edges = edges.join(nodes_of(bound), F.col(column) == F.col("_bound"), "left_semi")
+    return edges
 
 
 class Graph:
+    """Triples as sets of edges. A subclass gives ``edges`` and ``predicate_names`` or overrides ``triples``."""
+
     spark: SparkSession
     prefixes: dict[str, str]
 
-    def edges(self, predicate: str) -> DataFrame:
+    def edges(self, predicate: str, s: Bound = None, o: Bound = None) -> DataFrame:
         """(s, o), each once, of one predicate; empty if the graph does not know it."""
-        raise NotImplementedError
+        return self.triples(s, o, predicate).select("s", "o")
 
-    def triples(self) -> DataFrame:
+    def predicate_names(self) -> Iterable[str]:
+        return [r["p"] for r in self.triples().select("p").distinct().collect()]
+
+    def triples(self, s: Bound = None, o: Bound = None, p: str | None = None) -> DataFrame:
         """(s, p, o), each once."""
-        raise NotImplementedError
+        names = self.predicate_names() if p is None else [self.full(p)]
+        parts = [self.edges(name, s, o).select("s", F.lit(name).alias("p"), "o") for name in names]
+        return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")
 
     def nodes(self) -> DataFrame:
         """(node) each subject or object once."""
-        all_ = self.triples()
-        return all_.select(F.col("s").alias(NODE)).union(all_.select("o")).distinct()
+        return self.triples().select(F.explode(F.array("s", "o")).alias(NODE)).distinct()
 
     def full(self, term: str) -> str:
         return expand(term, self.prefixes)
@@ -48,27 +74,38 @@ class TripleGraph(Graph):
         self.prefixes = STANDARD | (prefixes or {})
         self._triples = triples.select("s", "p", "o").distinct()
 
-    def edges(self, predicate: str) -> DataFrame:
-        return self._triples.where(F.col("p") == self.full(predicate)).select("s", "o")
-
-    def triples(self) -> DataFrame:
-        return self._triples
+    def triples(self, s: Bound = None, o: Bound = None, p: str | None = None) -> DataFrame:
+        found = self._triples if p is None else self._triples.where(F.col("p") == self.full(p))
+        return narrowed(found, {"s": s, "o": o})
 
     def union(self, other: Graph) -> TripleGraph:
         """Both graphs' triples, as an ontology and a graph that uses it."""
         return TripleGraph(self.triples().union(other.triples()), other.prefixes | self.prefixes)
 
-    def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Parquet partitioned by predicate; prefixes beside it."""
-        self._triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(32))).write.mode(mode).partitionBy("p").parquet(f"{path}/triples")
-        self.spark.createDataFrame(list(self.prefixes.items()), "prefix string, namespace string").coalesce(1).write.mode(mode).parquet(f"{path}/prefixes")
+    def save(self, path: str) -> None:
+        """A new version: Parquet partitioned by predicate, prefixes beside it, and a pointer that names it, written last
+        and swapped by a rename. Readers see the version before or the new one; those before stay until removed."""
+        version = f"{path}/version-{uuid.uuid4().hex}"
+        self._triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(32))).write.partitionBy("p").parquet(f"{version}/triples")
+        self.spark.createDataFrame(list(self.prefixes.items()), "prefix string, namespace string").coalesce(1).write.parquet(f"{version}/prefixes")
+        jvm = self.spark.sparkContext._jvm
+        fs, draft = file_system(self.spark, f"{path}/.current-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(version.rsplit("/", 1)[1].encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(context.makeQualified(draft), context.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")), options)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TripleGraph:
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> TripleGraph:
+        """The current version, or the one named."""
+        version = version or spark.read.text(f"{path}/CURRENT").first()[0]
         made = cls.__new__(cls)
         made.spark = spark
-        made.prefixes = {r["prefix"]: r["namespace"] for r in spark.read.parquet(f"{path}/prefixes").collect()}
-        made._triples = spark.read.schema("s string, o string, p string").parquet(f"{path}/triples").select("s", "p", "o")  # distinct when saved
+        made.prefixes = {r["prefix"]: r["namespace"] for r in spark.read.parquet(f"{path}/{version}/prefixes").collect()}
+        made._triples = spark.read.schema("s string, o string, p string").parquet(f"{path}/{version}/triples").select("s", "p", "o")  # distinct when saved
         return made
 
     def cache(self) -> TripleGraph:
@@ -76,18 +113,76 @@ class TripleGraph(Graph):
         return self
 
 
+@dataclass(frozen=True)
+class Node:
+    """A term made of a row: ``prefix`` and key columns with ``-`` between them; no columns: the prefix alone."""
+
+    prefix: str
+    keys: tuple[str, ...] = ()
+
+    def term(self) -> Column:
+        """Null if a key is."""
+        between = [x for k in self.keys for x in (F.lit("-"), F.col(k).cast("string"))]
+        return F.concat(F.lit(self.prefix), *between[1:])
+
+    def fits(self, term: str, rows: DataFrame) -> Column | None:
+        """The condition on the key columns under which a row makes ``term``; None if none can."""
+        if not term.startswith(self.prefix) or (not self.keys and term != self.prefix):
+            return None
+        key = term[len(self.prefix) :]
+        if len(self.keys) > 1:
+            return self.term() == term
+        if not self.keys:
+            return F.lit(True)
+        kind = rows.schema[self.keys[0]].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            return F.col(self.keys[0]).cast("string") == key
+        if not key.lstrip("-").isdecimal() or str(int(key)) != key or len(key) > 18:
+            return None
+        return F.col(self.keys[0]) == int(key)
+
+
+@dataclass(frozen=True)
+class Part:
+    """Edges made of the rows of a table; ``unique``: no two rows make the same edge."""
+
+    rows: DataFrame
+    s: Node
+    o: Node
+    unique: bool = True
+
+    def edges(self, s: Bound = None, o: Bound = None) -> DataFrame | None:
+        """(s, o), narrowed on the table's own columns first; None if no row can fit."""
+        rows = self.rows
+        for node, bound in ((self.s, s), (self.o, o)):
+            if isinstance(bound, str):
+                condition = node.fits(bound, rows)
+                if condition is None:
+                    return None
+                rows = rows.where(condition)
+            elif bound is not None:
+                rows = rows.join(nodes_of(bound), node.term() == F.col("_bound"), "left_semi")
+        keys = list(dict.fromkeys([*self.s.keys, *self.o.keys]))
+        rows = rows.select(*keys) if self.unique else rows.select(*keys).distinct()
+        return rows.select(self.s.term().alias("s"), self.o.term().alias("o")).dropna()
+
+
 class TableGraph(Graph):
-    """Predicates over tables: full predicate IRI to a function that gives its (s, o)."""
+    """Predicates over tables: full predicate IRI to the parts whose edges, none in two of them, it has."""
 
-    def __init__(self, spark: SparkSession, predicates: dict[str, Callable[[], DataFrame]], prefixes: dict[str, str] | None = None) -> None:
+    def __init__(self, spark: SparkSession, predicates: dict[str, list[Part]], prefixes: dict[str, str] | None = None) -> None:
         self.spark, self.predicates, self.prefixes = spark, predicates, STANDARD | (prefixes or {})
 
-    def edges(self, predicate: str) -> DataFrame:
-        made = self.predicates.get(self.full(predicate))
-        return made().select("s", "o") if made else self.empty_edges()
+    def edges(self, predicate: str, s: Bound = None, o: Bound = None) -> DataFrame:
+        parts = [e for part in self.predicates.get(self.full(predicate), []) if (e := part.edges(s, o)) is not None]
+        return reduce(DataFrame.union, parts) if parts else self.empty_edges()
+
+    def predicate_names(self) -> Iterable[str]:
+        return self.predicates
 
-    def triples(self) -> DataFrame:
-        out = self.empty_edges().select("s", F.lit("").alias("p"), "o")
-        for name, made in self.predicates.items():
-            out = out.union(made().select("s", F.lit(name).alias("p"), "o"))
-        return out
+    def triples(self, s: Bound = None, o: Bound = None, p: str | None = None) -> DataFrame:
+        """The tables' rows that fit, as triples; a term that no predicate's table can make reads no table."""
+        names = self.predicates if p is None else [self.full(p)]
+        made = [(name, e) for name in names for part in self.predicates.get(name, []) if (e := part.edges(s, o)) is not None]
+        parts = [e.select("s", F.lit(name).alias("p"), "o") for name, e in made]
+        return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.paths import Path, pred
-from .functions.terms import INVERSE_OF, abbreviate
-from .operators import output, stats
+from .functions.terms import CLASS as OWL_CLASS
+from .functions.terms import INVERSE_OF, STANDARD, SUBCLASS, abbreviate, local_name, namespace
+from .functions.terms import TYPE as RDF_TYPE
+from .operators import output, search, stats
 from .operators.match import count, count_from, either, select, select_from
 from .operators.update import insert, with_inverses
 from .plans.graph import TableGraph, TripleGraph
@@ -56,19 +58,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _register(name: str, sql: str | None, *recursive: tuple[str, str]):
-    """Keep a function of a graph as a query of (spark, sf_dir), with SQL over TRIPLES."""
+def _register(name: str, sql: str | None, *recursive: tuple[str, str] | str):
+    """Keep a function of a graph as a query of (spark, sf_dir), with SQL over TRIPLES, closures (name, edges) and tables
+    in SQL."""
 
     def keep(function):
         QUERIES[name] = lambda spark, sf_dir: function(warehouse(spark, sf_dir))
         if sql:
-            SQL[name] = f"WITH RECURSIVE {', '.join([TRIPLES, *(_closed(n, e) for n, e in recursive)])} {sql}"
+            SQL[name] = f"WITH RECURSIVE {', '.join([TRIPLES, *(x if isinstance(x, str) else _closed(*x) for x in recursive)])} {sql}"
         return function
 
     return keep
 
 
-def _pattern(name: str, variables: str, where: list, sql: str, *recursive: tuple[str, str], counted: bool = False) -> None:
+def _pattern(name: str, variables: str, where: list, sql: str, *recursive: tuple[str, str] | str, counted: bool = False) -> None:
     _register(name, sql, *recursive)(lambda g: (count if counted else select)(g, variables.split(), where))
 
 
@@ -112,6 +115,25 @@ _pattern("star_join", "s p c u", [("?s", SUPPLIES, "?p"), ("?s", LOCATED, "natio
          f"SELECT spl.s, spl.o AS p, typ.o AS c, sub.o AS u FROM spl JOIN loc ON loc.s = spl.s AND loc.o = '{NATION}7' JOIN typ ON typ.s = spl.o JOIN sub ON sub.s = typ.o")
 
 
+_pattern("path_plus_after_binding", "c x", [("?c", LOCATED.plus(), "?x"), ("?c", LOCATED, "nation:7")],
+         f"SELECT loc.s AS c, c.o AS x FROM loc JOIN c ON c.s = loc.s WHERE loc.o = '{NATION}7'", ("c", "loc"))
+_pattern("path_plus_before_binding", "x y", [("?x", NEXT_TURN.plus(), "?y"), ("?y", NEXT_TURN, "?z"), ("?z", NEXT_TURN, "?e")],
+         "SELECT DISTINCT c.s AS x, c.o AS y FROM c JOIN trn a ON a.s = c.o JOIN trn b ON b.s = a.o", ("c", "trn"))
+_pattern("path_star_after_binding", "c x", [("?c", LOCATED.star(), "?x"), ("?c", PLACED, "order:7")],
+         f"SELECT plc.o AS c, c.o AS x FROM plc JOIN c ON c.s = plc.o WHERE plc.s = '{ORDER}7' UNION SELECT o, o FROM plc WHERE s = '{ORDER}7'", ("c", "loc"))
+_pattern("path_star_open", "a b", [("?a", SUB.star(), "?b"), ("?a", SUB, "?c")], "SELECT s AS a, o AS b FROM c UNION SELECT s, s FROM sub", ("c", "sub"))
+_pattern("path_group_plus", "x", [("nation:7", (LOCATED / IS_LOCATION).plus(), "?x")], "SELECT o AS x FROM r",
+         f"r(o) AS (SELECT b.s FROM loc a JOIN loc b ON b.o = a.o WHERE a.s = '{NATION}7' UNION SELECT b.s FROM r JOIN loc a ON a.s = r.o JOIN loc b ON b.o = a.o)")
+_pattern("path_inverse_plus", "x", [("region:1", (~LOCATED).plus(), "?x")], f"SELECT s AS x FROM c WHERE o = '{REGION}1'", ("c", "loc"))
+_pattern("path_inverse_of_sequence", "r c", [("?r", ~(LOCATED / LOCATED), "?c"), ("?r", "v:label", "ASIA")], "SELECT DISTINCT b.o AS r, a.s AS c FROM loc a JOIN loc b ON b.s = a.o JOIN lab ON lab.s = b.o AND lab.o = 'ASIA'")
+_pattern("type_subclass_of_neighbours", "s p k", [("?s", LOCATED, "nation:7"), ("?s", "?p", "?o"), ("?o", TYPE / SUB.star(), "?k")],
+         f"SELECT DISTINCT t.s, t.p, k.k FROM t JOIN loc ON loc.s = t.s AND loc.o = '{NATION}7' JOIN (SELECT s, o AS k FROM typ UNION SELECT typ.s, c.o FROM typ JOIN c ON c.s = typ.o) k ON k.s = t.o", ("c", "sub"))
+_pattern("bgp_open_chain", "s q k", [("?s", LOCATED, "nation:3"), ("?s", "?p", "?o"), ("?o", "?q", "?e"), ("?e", TYPE, "?k")],
+         f"SELECT DISTINCT t.s, u.p AS q, typ.o AS k FROM t JOIN loc ON loc.s = t.s AND loc.o = '{NATION}3' JOIN t u ON u.s = t.o JOIN typ ON typ.s = u.o")
+_pattern("count_open_between", "p q", [("?a", "?p", "?b"), ("?b", "?q", "region:1")], f"SELECT CAST(count(*) AS BIGINT) AS count FROM (SELECT DISTINCT t.p, u.p AS q FROM t JOIN t u ON u.s = t.o WHERE u.o = '{REGION}1')", counted=True)
+_pattern("unknown_terms", "x y", [("?x", "v:nothing", "?y")], "SELECT s AS x, o AS y FROM loc WHERE false")
+
+
 def _two(g: TableGraph) -> dict:
     """Two graphs with an edge or more in common: orders' parts and suppliers, and where suppliers and nations are."""
     keep = lambda *names: {VOCAB + n: g.predicates[VOCAB + n] for n in names}
@@ -159,4 +181,40 @@ _register("class_edges_of_result", f"SELECT DISTINCT a.o AS s, t.p, b.o FROM t J
 _register("abbreviate", f"SELECT replace(s, '{NATION}', 'nation:') AS n, replace(o, '{REGION}', 'region:') AS r FROM loc WHERE starts_with(s, '{NATION}')")(
     lambda g: select(g, ["n", "r"], [("?n", NEXT, "?m"), ("?n", LOCATED, "?r")]).select(abbreviate(F.col("n"), PREFIXES).alias("n"), abbreviate(F.col("r"), PREFIXES).alias("r"))
 )
+
+
+def _ontology(g: TableGraph) -> TripleGraph:
+    """Each class that has one above it as an owl:Class, and the edges between them."""
+    above = g.edges("rdfs:subClassOf")
+    kinds = above.select("s", F.lit(RDF_TYPE).alias("p"), F.lit(OWL_CLASS).alias("o"))
+    return TripleGraph(kinds.union(above.select("s", F.lit(SUBCLASS).alias("p"), "o")), PREFIXES)
+
+
+_register("search_classes", """SELECT term, hits, round(score, 6) AS score FROM (SELECT term, count(*) AS hits, sum(sqrt(n) * pow(1 + ln(total / (df + 1)), 2) / sqrt(n_words)) AS score
+  FROM (SELECT term, word, count(*) AS n, any_value(n_words) AS n_words, any_value(total) AS total FROM words GROUP BY term, word) x
+  JOIN (SELECT word, count(DISTINCT term) AS df FROM words GROUP BY word) d USING (word) WHERE word IN ('13', 'supplier', 'building', 'large', 'economy') GROUP BY term) ORDER BY score DESC, term LIMIT 10""",
+  """names AS (SELECT DISTINCT s AS term, [x for x in string_split_regex(lower(regexp_replace(s, '^[a-z][a-z0-9+.-]*:.*[#/]', '')), '[_\\s]+') if x <> ''] AS w FROM sub),
+  words AS (SELECT term, len(w) AS n_words, unnest(w) AS word, (SELECT count(*) FROM names WHERE len(w) > 0)::DOUBLE AS total FROM names)""")(
+    lambda g: search.search(_ontology(g), "13 Supplier_Building large ECONOMY").withColumn("score", F.round("score", 6))
+)
+_register("json_lines", f"""SELECT '{{"?n":{{"Namespace":"{BASE}nation","Value":"' || replace(s, '{NATION}', '') || '"}},"?m":{{"Namespace":"{BASE}nation","Value":"' || replace(o, '{NATION}', '') || '"}}}}' AS value FROM nxt""")(
+    lambda g: output.json_rows(select(g, ["n", "m"], [("?n", NEXT, "?m")]))
+)
+_register("csv_lines", f"SELECT 'nation:' || replace(lab.s, '{NATION}', '') AS n, '' AS name FROM lab WHERE starts_with(s, '{NATION}')")(
+    lambda g: output.csv_rows(select(g, ["n", "name"], [("?n", NEXT, "?m"), ("?n", "v:label", "?name")]), PREFIXES)
+)
+_register("dot_of_classes", f"""SELECT 'digraph classes {{' AS value UNION ALL SELECT '}}' UNION ALL
+  SELECT DISTINCT '"class:' || replace(replace(s, '{CLASS}', ''), '"', '') || '" -> "class:' || replace(o, '{CLASS}', '') || '";' FROM sub""")(lambda g: output.class_dot(_ontology(g)))
+_register("dot_of_graph", f"""SELECT 'digraph graph_ {{' AS value UNION ALL SELECT '}}' UNION ALL
+  SELECT '"nation:' || replace(s, '{NATION}', '') || '" -> "nation:' || replace(o, '{NATION}', '') || '" [label="v:nextTo"];' FROM nxt""")(
+    lambda g: output.graph_dot(TableGraph(g.spark, {f"{VOCAB}nextTo": g.predicates[f"{VOCAB}nextTo"]}, PREFIXES))
+)
+_register("turtle_lines", " UNION ALL ".join(f"SELECT '@prefix {k}: <{v}> .' AS value" for k, v in (STANDARD | PREFIXES).items()) + f" UNION ALL SELECT '<' || s || '> v:nextTo <' || o || '> .' FROM nxt")(
+    lambda g: output.turtle_lines(TableGraph(g.spark, {f"{VOCAB}nextTo": g.predicates[f"{VOCAB}nextTo"]}, PREFIXES))
+)
+_register("outdegree_histogram", "SELECT d AS value, count(*) AS n FROM (SELECT s, count(*) AS d FROM t GROUP BY s) GROUP BY d")(lambda g: stats.histogram(stats.degrees(g.triples(), "s"), "degree"))
+_register("indegree_histogram", "SELECT d AS value, count(*) AS n FROM (SELECT o, count(*) AS d FROM t GROUP BY o) GROUP BY d")(lambda g: stats.histogram(stats.degrees(g.triples(), "o"), "degree"))
+_register("namespaces", f"SELECT regexp_extract(s, '^[a-z][a-z0-9+.-]*:.*[#/]') AS namespace, CAST(count(*) AS BIGINT) AS n, max(replace(s, regexp_extract(s, '^[a-z][a-z0-9+.-]*:.*[#/]'), '')) AS last FROM loc GROUP BY 1")(
+    lambda g: g.edges("v:locatedIn").groupBy(namespace(F.col("s")).alias("namespace")).agg(F.count(F.lit(1)).alias("n"), F.max(local_name(F.col("s"))).alias("last"))
+)
 FLAGSHIP = "bgp_chain_join"

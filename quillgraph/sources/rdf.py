@@ -1,18 +1,20 @@
 """N-Triples and Turtle files as triples (s, p, o).
 
-Both are read by Spark's text source, split between tasks: N-Triples by lines and regular expressions, Turtle by
-statements (a dot at a line's end), whose few grammar rules a small function applies to Arrow batches. Prefixes, a
-few a file, are gathered first and sent to the tasks.
+Both are read by Spark's text source, split between tasks: N-Triples by lines and regular expressions, Turtle at dots
+that end a line, into records of one statement or more, whose few grammar rules a small function applies to Arrow
+batches. Prefixes and bases, a few a file, are gathered first and sent to the tasks.
 
 Literals are their text: language tags and data types are dropped. Blank nodes are named by file and label, or for
-``[...]`` and ``(...)`` by their statement. Defined results: a statement that does not parse raises an error with its
-text; a dot at a line's end inside a literal of several lines is not supported.
+``[...]`` and ``(...)`` by their record. Defined results: a statement that does not parse raises an error with its
+text; of several prefixes or bases by one name in a file the last holds; a file whose lines end in CRLF is one record;
+a dot at a line's end inside a statement, in a literal of several lines or a comment, is not supported.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import RDF, STANDARD
 from ..plans.graph import TripleGraph
+from ..session import ship_package
 
-PREFIX = re.compile(r"(?:^|\n)\s*@?(?:prefix)\s+([\w.-]*):\s*<([^>]*)>\s*\.?\s*(?=\n|$)", re.IGNORECASE)
+PREFIX = re.compile(r"(?:^|[\n.>])\s*@?prefix\s+([\w.-]*):\s*<([^>]*)>", re.IGNORECASE)
+BASE = re.compile(r"(?:^|[\n.>])\s*@?base\s*<([^>]*)>", re.IGNORECASE)
 TOKEN = re.compile(
-    r"""\s*+(?:\#[^\n]*+\s*+)*+(?:(?P<iri><[^>]*>)|(?P<text>\"{3}(?:[^\\]|\\.)*?\"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]+))?
+    r"""\s*+(?:\#[^\n]*+\s*+)*+(?:(?P<directive>@prefix\b[^<]*<[^>]*>\s*\.?|@base\s*<[^>]*>\s*\.?|(?i:prefix)\s[^<:]*:\s*<[^>]*>|(?i:base)\s*<[^>]*>)|(?P<iri><[^>]*>)|(?P<text>\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]+))?
     |(?P<blank>_:[\w.-]*\w)|(?P<name>[\w.-]*:(?:[\w%-]|\.(?=[\w%-]))*)|(?P<number>[+-]?(?:\d+\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<word>a|true|false)(?![\w:])|(?P<sign>[;,\[\]().]))""",
     re.VERBOSE | re.DOTALL,
 )
@@ -36,8 +40,8 @@ def _unescape(text: str) -> str:
     return ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else ESCAPED.get(m[3], m[3]), text)
 
 
-def statement(text: str, prefixes: dict[str, str], scope: str) -> list[tuple[str, str, str]]:
-    """The triples of one Turtle statement without its last dot."""
+def statement(text: str, prefixes: dict[str, str], scope: str, base: str = "") -> list[tuple[str, str, str]]:
+    """The triples of Turtle statements with dots between them; directives are passed over."""
     found, at, made = [], 0, 0
     tokens: list[tuple[str, str]] = []
     body = text.rstrip()
@@ -47,7 +51,8 @@ def statement(text: str, prefixes: dict[str, str], scope: str) -> list[tuple[str
             if re.fullmatch(r"\s*(?:#[^\n]*\s*)*", body[at:]):
                 break
             raise ValueError(f"not Turtle: {body[at:at + 80]!r}")
-        tokens.append((m.lastgroup, m[m.lastgroup]))
+        if m.lastgroup != "directive":
+            tokens.append((m.lastgroup, m[m.lastgroup]))
         at = m.end()
     tokens.reverse()
 
@@ -57,9 +62,11 @@ def statement(text: str, prefixes: dict[str, str], scope: str) -> list[tuple[str
         return f"_:{scope}n{made}"
 
     def term() -> str:
+        if not tokens:
+            raise ValueError(f"not Turtle: {text[:80]!r}")
         kind, value = tokens.pop()
         if kind == "iri":
-            return _unescape(value[1:-1])
+            return _resolved(_unescape(value[1:-1]), base)
         if kind == "text":
             return _unescape(value[3:-3] if value[:3] in ('"""', "'''") and len(value) >= 6 else value[1:-1])
         if kind == "name":
@@ -99,26 +106,49 @@ def statement(text: str, prefixes: dict[str, str], scope: str) -> list[tuple[str
                     break
                 tokens.pop()
 
-    if tokens:
-        properties(term(), ".")
-        if any(t != ("sign", ".") for t in tokens):
+    while tokens:
+        if tokens[-1] == ("sign", "."):
+            tokens.pop()
+            continue
+        before, subject = len(found), term()
+        properties(subject, ".")
+        if len(found) == before:
             raise ValueError(f"not Turtle: {text[:80]!r}")
     return found
 
 
+def _resolved(iri: str, base: str) -> str:
+    return iri if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) else urljoin(base, iri)
+
+
+def turtle_text(spark: SparkSession, text: str, base: str = "") -> TripleGraph:
+    """The graph of a small Turtle text that the driver holds."""
+    prefixes = STANDARD | dict(PREFIX.findall(text))
+    found = BASE.findall(text)
+    rows = statement(text, prefixes, "text/0", urljoin(base, found[-1]) if found else base)
+    return TripleGraph(spark.createDataFrame(rows, SCHEMA), {k: v for k, v in prefixes.items() if k})
+
+
 def read_turtle(spark: SparkSession, *paths: str) -> TripleGraph:
+    ship_package(spark)
     lines = spark.read.option("lineSep", ".\n").text(list(paths)).select("value", F.xxhash64("_metadata.file_path").alias("file"))
-    marked = lines.where(F.col("value").rlike(r"(?i)(^|\n)\s*@?prefix\s"))
+    marks = lambda pattern, parts: F.expr(f"regexp_extract_all(value, r'{pattern}', 0)").alias(parts)
+    named = lines.where(F.col("value").rlike(r"(?i)@?(prefix|base)\s*[^<\n]*<"))
+    headers = named.select("file", marks(r"(?is)(^|[\n.>])\s*@?prefix\s+[\w.-]*:\s*<[^>]*>", "prefixes"), marks(r"(?is)(^|[\n.>])\s*@?base\s*<[^>]*>", "bases"))
     prefixes: dict[int, dict[str, str]] = {}
-    for row in marked.collect():  # a file's header
-        prefixes.setdefault(row["file"], {}).update(PREFIX.findall(row["value"]))
+    bases: dict[int, str] = {}
+    for row in headers.where("size(prefixes) + size(bases) > 0").collect():  # a file's directives
+        for text in row["prefixes"]:
+            prefixes.setdefault(row["file"], {}).update(PREFIX.findall(text))
+        for text in row["bases"]:
+            bases[row["file"]] = urljoin(bases.get(row["file"], ""), BASE.search(text)[1])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for value, file, hashed in batch.itertuples(index=False):
                 scope = f"f{file & 0xFFFFFFFF:08x}/{hashed & 0xFFFFFFFFFFFFFFFF:016x}"
-                rows += statement(PREFIX.sub("\n", value), STANDARD | prefixes.get(file, {}), scope)
+                rows += statement(value, STANDARD | prefixes.get(file, {}), scope, bases.get(file, ""))
             yield pd.DataFrame(rows, columns=["s", "p", "o"], dtype="str")
 
     triples = lines.select("value", "file", F.xxhash64("value")).mapInPandas(run, SCHEMA)

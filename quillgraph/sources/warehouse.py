@@ -2,77 +2,63 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import SUBCLASS, TYPE
-from ..plans.graph import TableGraph
+from ..plans.graph import Node, Part, TableGraph
 
 BASE = "https://example.org/wh/"
 VOCAB = BASE + "vocab#"
 PREFIXES = {"v": VOCAB, "class": BASE + "class#"} | {t: f"{BASE}{t}#" for t in ("region", "nation", "customer", "supplier", "part", "order", "user", "turn")}
 
 
-def iri(table: str, *key: str | Column) -> Column:
-    return F.concat(F.lit(f"{BASE}{table}#"), F.concat_ws("-", *key))
-
-
-def warehouse(spark: SparkSession, sf_dir: str) -> TableGraph:
-    def pairs(table: str, s: Column, o: Column, distinct: bool = False) -> DataFrame:
-        found = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(s.alias("s"), o.alias("o"))
-        return found.distinct() if distinct else found
-
-    def any_of(*parts: DataFrame) -> DataFrame:
-        return reduce(DataFrame.union, parts)
+def node(table: str, *keys: str) -> Node:
+    return Node(f"{BASE}{table}#", keys)
 
-    def located_in() -> DataFrame:
-        return any_of(
-            pairs("nation", iri("nation", "n_nationkey"), iri("region", "n_regionkey")),
-            pairs("customer", iri("customer", "c_custkey"), iri("nation", "c_nationkey")),
-            pairs("supplier", iri("supplier", "s_suppkey"), iri("nation", "s_nationkey")),
-        )
 
-    def types() -> DataFrame:
-        return any_of(
-            pairs("part", iri("part", "p_partkey"), iri("class", "p_brand")),
-            pairs("part", iri("part", "p_partkey"), iri("class", "p_type")),
-            pairs("customer", iri("customer", "c_custkey"), iri("class", "c_mktsegment")),
-            pairs("supplier", iri("supplier", "s_suppkey"), iri("class", F.lit("Supplier"))),
-        )
+def one_class(name: str) -> Node:
+    return Node(f"{BASE}class#{name}")
 
-    def subclasses() -> DataFrame:
-        return any_of(
-            pairs("part", iri("class", "p_brand"), iri("class", F.lit("Brand")), distinct=True),
-            pairs("part", iri("class", "p_type"), iri("class", F.lit("Kind")), distinct=True),
-            pairs("customer", iri("class", "c_mktsegment"), iri("class", F.lit("Customer")), distinct=True),
-            spark.createDataFrame([(f"{BASE}class#{a}", f"{BASE}class#{b}") for a, b in (("Brand", "Part"), ("Kind", "Part"), ("Customer", "Party"), ("Supplier", "Party"))], "s string, o string"),
-        )
-
-    def turned(made) -> DataFrame:
-        return made().select(F.col("o").alias("s"), F.col("s").alias("o"))
-
-    def placed_by() -> DataFrame:
-        return pairs("orders", iri("order", "o_orderkey"), iri("customer", "o_custkey"))
-
-    def next_turn() -> DataFrame:
-        now = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct()
-        after = now.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"))
-        both = now.join(after, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") + 1 == F.col("_turn")))
-        return both.select(iri("turn", "conv_id", "turn").alias("s"), iri("turn", "conv_id", F.col("_turn")).alias("o"))
 
+def warehouse(spark: SparkSession, sf_dir: str) -> TableGraph:
+    tables = {}
+
+    def rows(table: str):
+        if table not in tables:
+            tables[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return tables[table]
+
+    def part(table: str, s: Node, o: Node, unique: bool = True) -> Part:
+        return Part(rows(table), s, o, unique)
+
+    order, customer, supplier, nation, region, item = node("order", "l_orderkey"), node("customer", "c_custkey"), node("supplier", "s_suppkey"), node("nation", "n_nationkey"), node("region", "n_regionkey"), node("part", "p_partkey")
+    placed_by = (node("order", "o_orderkey"), node("customer", "o_custkey"))
+    located_in = [("nation", nation, region), ("customer", customer, node("nation", "c_nationkey")), ("supplier", supplier, node("nation", "s_nationkey"))]
+    turns = rows("conversations").select("conv_id", "turn").distinct()
+    after = turns.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"))
+    both = turns.join(after, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") + 1 == F.col("_turn")))
+    above = spark.createDataFrame([("Brand", "Part"), ("Kind", "Part"), ("Customer", "Party"), ("Supplier", "Party")], "a string, b string")
+    ring = rows("nation").withColumn("_next", (F.col("n_nationkey") + 1) % 25)
     predicates = {
-        "locatedIn": located_in,
-        "isLocationOf": lambda: turned(located_in),
-        "placedBy": placed_by,
-        "placed": lambda: turned(placed_by),
-        "contains": lambda: pairs("lineitem", iri("order", "l_orderkey"), iri("part", "l_partkey"), distinct=True),
-        "suppliedBy": lambda: pairs("lineitem", iri("order", "l_orderkey"), iri("supplier", "l_suppkey"), distinct=True),
-        "supplies": lambda: pairs("lineitem", iri("supplier", "l_suppkey"), iri("part", "l_partkey"), distinct=True),
-        "nextTo": lambda: pairs("nation", iri("nation", "n_nationkey"), iri("nation", (F.col("n_nationkey") + 1) % 25)),
-        "nextTurn": next_turn,
-        "performed": lambda: pairs("events", iri("user", "user_id"), iri("class", "event_type"), distinct=True),
-        "label": lambda: any_of(pairs("region", iri("region", "r_regionkey"), F.col("r_name")), pairs("nation", iri("nation", "n_nationkey"), F.col("n_name"))),
+        "locatedIn": [part(*x) for x in located_in],
+        "isLocationOf": [part(t, o, s) for t, s, o in located_in],
+        "placedBy": [part("orders", *placed_by)],
+        "placed": [part("orders", *reversed(placed_by))],
+        "contains": [part("lineitem", order, node("part", "l_partkey"), unique=False)],
+        "suppliedBy": [part("lineitem", order, node("supplier", "l_suppkey"), unique=False)],
+        "supplies": [part("lineitem", node("supplier", "l_suppkey"), node("part", "l_partkey"), unique=False)],
+        "nextTo": [Part(ring, nation, node("nation", "_next"))],
+        "nextTurn": [Part(both, node("turn", "conv_id", "turn"), node("turn", "conv_id", "_turn"))],
+        "performed": [part("events", node("user", "user_id"), node("class", "event_type"), unique=False)],
+        "label": [part("region", node("region", "r_regionkey"), Node("", ("r_name",))), part("nation", nation, Node("", ("n_name",)))],
     }
+    types = [
+        part("part", item, node("class", "p_brand")), part("part", item, node("class", "p_type")),
+        part("customer", customer, node("class", "c_mktsegment")), part("supplier", supplier, one_class("Supplier")),
+    ]
+    subclasses = [
+        part("part", node("class", "p_brand"), one_class("Brand"), unique=False), part("part", node("class", "p_type"), one_class("Kind"), unique=False),
+        part("customer", node("class", "c_mktsegment"), one_class("Customer"), unique=False), Part(above, node("class", "a"), node("class", "b")),
+    ]
     return TableGraph(spark, {VOCAB + k: v for k, v in predicates.items()} | {TYPE: types, SUBCLASS: subclasses}, PREFIXES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import is_variable
-from ..operators.match import Either, Pattern, match
+from ..operators.match import Either, Pattern, match, same_terms
 from ..plans.graph import Graph
 
 
@@ -18,15 +18,20 @@ def triple_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_solutions(stream: DataFrame, graph: Graph, pattern: tuple[str, str, str], where: Sequence[Pattern | Either] = ()) -> DataFrame:
-    """Each arriving triple that fits ``pattern`` with the solutions of ``where`` in the graph that share its variables;
-    a stateless stream-static join, to be written with ``writeStream``."""
+    """Each arriving triple that fits ``pattern`` with the solutions of ``where`` in the graph that share its variables,
+    or with all solutions if they share none; a stateless stream-static join, to be written with ``writeStream``."""
     found = stream
     for column, term in zip("spo", pattern, strict=True):
         if not is_variable(term):
-            found = found.where(F.col(column) == graph.full(term))
-    names = {t[1:]: c for c, t in zip("spo", pattern, strict=True) if is_variable(t)}
-    found = found.select(*[F.col(c).alias(n) for n, c in names.items()])
+            full = graph.full("rdf:type" if (column, term) == ("p", "a") else term)
+            found = found.where(F.col(column) == full)
+    places: dict[str, list[str]] = {}
+    for column, term in zip("spo", pattern, strict=True):
+        if is_variable(term):
+            places.setdefault(term[1:], []).append(column)
+    found = same_terms(found, places).select(*[F.col(at[0]).alias(n) for n, at in places.items()])
     if not where:
         return found
     static = match(graph, where)
-    return found.join(static, [c for c in static.columns if c in names])
+    shared = [c for c in static.columns if c in places]
+    return found.join(static, shared) if shared else found.crossJoin(static)
