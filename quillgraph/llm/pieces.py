@@ -46,18 +46,32 @@ C1, C2, C3, C4, C5 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4E
 FIRST, STEP, NODE, EDGE, BEFORE, SIBLING, AFTER, INSIDE = range(8)  # purposes of random numbers
 
 
-def uniform(key: np.ndarray, purpose: int, draw: int, unit: np.ndarray | int = 0, step: int = 0) -> np.ndarray:
-    """In (0, 1): a hash of the five numbers."""
+def mixture(key: np.ndarray, purpose: int, draw: int, unit: np.ndarray | int = 0) -> np.ndarray:
+    """What ``spread`` makes random numbers of."""
     with np.errstate(over="ignore"):
-        same = np.uint64((int(C2) * draw + int(C4) * step + int(C5) * purpose) & 0xFFFFFFFFFFFFFFFF)
         x = key * C1
-        x += np.asarray(unit).astype(np.uint64) * C3 + same
+        x += np.asarray(unit).astype(np.uint64) * C3 + np.uint64((int(C2) * draw + int(C5) * purpose) & 0xFFFFFFFFFFFFFFFF)
+    return x
+
+
+def spread(x: np.ndarray, step: int = 0) -> np.ndarray:
+    """In (0, 1): a hash of each number and the step."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(int(C4) * step & 0xFFFFFFFFFFFFFFFF)
         for m in (C2, C4):
             x ^= x >> np.uint64(31)
             x *= m
     x ^= x >> np.uint64(29)
     x >>= np.uint64(12)
-    return (x + 0.5) * 2.0**-52
+    u = x.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-52
+    return u
+
+
+def uniform(key: np.ndarray, purpose: int, draw: int) -> np.ndarray:
+    """In (0, 1): a hash of the three numbers."""
+    return spread(mixture(key, purpose, draw))
 
 
 def truncated(place: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -339,27 +353,29 @@ class Search:
         self.first, self.piece, self.to, self.log, self.upto = lattices.views()
         self.last_unit = np.cumsum(counts)
 
-    def walk(self, units: np.ndarray, nodes: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-        """Follow edges at random from each unit's node, below 0 at its end, to the end: (edges, places among ``units``)
-        in order."""
-        edges, owners = [], []
+    def walk(self, units: np.ndarray, nodes: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Follow edges at random from each unit's node, below 0 at its end, to the end: (edges, their log-probabilities,
+        their pieces, places among ``units``) in order. Units go by node, so that equal ones read the same lattice."""
+        found = []
         lengths = np.zeros(len(units), np.int64)
-        live = np.flatnonzero(nodes >= 0)
+        live = np.argsort(nodes)
+        live = live[np.searchsorted(nodes[live], 0) :]
         now, step = nodes[live], 0
-        keys, numbers = self.keys[self.text[units]], self.number[units]
+        own = units[live]
+        seeds = mixture(self.keys[self.text[own]], STEP, draw, self.number[own])
         while len(live):
-            edge = self._choose(now, uniform(keys[live], STEP, draw, numbers[live], step))
-            edges.append(edge)
-            owners.append(live)
+            edge = self._choose(now, spread(seeds, step))
+            found.append((live, edge, self.log[edge], self.piece[edge]))
             now, step = self.to[edge], step + 1
             lengths[live] = step
             go = np.flatnonzero(now >= 0)
-            live, now = live[go], now[go]
-        out = np.empty(int(lengths.sum()), np.int64)
+            live, now, seeds = live[go], now[go], seeds[go]
         starts = np.cumsum(lengths) - lengths
-        for step, (edge, owner) in enumerate(zip(edges, owners, strict=True)):
-            out[starts[owner] + step] = edge
-        return out, np.repeat(np.arange(len(units)), lengths)
+        edges, logs, ids = (np.empty(int(lengths.sum()), kind) for kind in (np.int32, np.float64, np.int32))
+        for step, (owner, edge, log, piece) in enumerate(found):
+            place = starts[owner] + step
+            edges[place], logs[place], ids[place] = edge, log, piece
+        return edges, logs, ids, np.repeat(np.arange(len(units)), lengths)
 
     def _choose(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node in whose share of 0 to 1 ``u`` lies."""
@@ -371,14 +387,14 @@ class Search:
         return edge
 
     def run(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each draw: (texts that have it, edges, counts, log-probability, priority); last, kappa of all texts."""
+        """For each draw: (texts that have it, ids, counts, log-probability, priority); last, kappa of all texts."""
         every, n = np.arange(self.n), self.n
-        edges, units = self.walk(np.arange(len(self.text)), self.unit_start, 0)
+        edges, logs, ids, units = self.walk(np.arange(len(self.text)), self.unit_start, 0)
         counts = np.bincount(self.text[units], minlength=n)
-        found = Paths(every, edges, units, counts, self.log[edges], n)
+        found = Paths(every, edges, units, counts, logs, n)
         log_p = found.upto[found.end - 1]
         perturbed = -np.log(-np.log(uniform(self.keys, FIRST, 0)))
-        yield every, edges, counts, log_p, perturbed
+        yield every, ids, counts, log_p, perturbed
         paths, taken = [found], {}
         #: A column a set: its path, the range of places where its members leave it, whether taken edges are listed.
         path, low, high, listed = np.zeros((n, 1), np.int64), found.start[:, None].copy(), found.end[:, None].copy(), np.zeros((n, 1), bool)
@@ -410,24 +426,26 @@ class Search:
             tails = ranges(unit, sizes)
             nodes = self.unit_start[tails]
             nodes[np.cumsum(sizes) - sizes] = self.to[pick]
-            tail, tail_owner = self.walk(tails, nodes, draw)
+            tail, tail_logs, tail_ids, tail_owner = self.walk(tails, nodes, draw)
             tail_units = tails[tail_owner]
             tail_counts = np.bincount(np.searchsorted(alive, self.text[tail_units]), minlength=len(alive))
             head = place - start
             counts = head + 1 + tail_counts
             starts = np.cumsum(counts) - counts
-            edges, units = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
+            edges, units, logs, ids = (np.empty(int(counts.sum()), kind) for kind in (np.int32, np.int64, np.float64, np.int32))
             for p in np.unique(q):
                 its = q == p
                 into, source = ranges(starts[its], head[its]), ranges(start[its], head[its])
                 edges[into], units[into] = paths[p].edges[source], paths[p].units[source]
             edges[starts + head], units[starts + head] = pick, unit
+            before_tail = ranges(starts, head + 1)
+            logs[before_tail], ids[before_tail] = self.log[edges[before_tail]], self.piece[edges[before_tail]]
             into = ranges(starts + head + 1, tail_counts)
-            edges[into], units[into] = tail, tail_units
-            found = Paths(alive, edges, units, counts, self.log[edges], n)
+            edges[into], units[into], logs[into], ids[into] = tail, tail_units, tail_logs, tail_ids
+            found = Paths(alive, edges, units, counts, logs, n)
             log_p = found.upto[found.end[alive] - 1]
             paths.append(found)
-            yield alive, edges, counts, log_p, most
+            yield alive, ids, counts, log_p, most
 
             whole = np.where(single, -np.inf, 0.0)  # a listed node has nothing before or after it
             begun = starts + head + 1
@@ -509,10 +527,10 @@ def sample(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, key: str
                 numbers = np.array([x or 0 for x in part.column(1).to_pylist()], np.int64).view(np.uint64)
                 search = Search(store, texts(part, "_text"), numbers)
                 *draws, (_, _, _, _, kappa) = search.run(k)
-                for d, (own, edges, counts, log_p, perturbed) in enumerate(draws):
+                for d, (own, pieces, counts, log_p, perturbed) in enumerate(draws):
                     with np.errstate(over="ignore"):
                         inclusion = np.where(np.isfinite(kappa[own]), -np.expm1(-np.exp(log_p - kappa[own])), 1.0)
-                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(search.piece[edges], pa.int32()))
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(pieces, pa.int32()))
                     places = pa.array(own)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(places), pa.array(np.full(len(own), d), pa.int32()), ids, pa.array(log_p), pa.array(perturbed), pa.array(inclusion), part.column(2).take(places)], [key, "sample", "ids", "log_prob", "perturbed", "inclusion", "text_hash"])
 
