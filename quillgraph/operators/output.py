@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import CLASS, SUBCLASS, TYPE, abbreviate, is_variable, local_name, namespace
 from ..plans.graph import Graph
+from ..session import stage
 from .match import Either, Pattern
 
 
@@ -55,7 +56,7 @@ def class_dot(graph: Graph) -> DataFrame:
 def result_class_edges(graph: Graph, found: DataFrame, kept: Sequence[str] = ("uuid",)) -> DataFrame:
     """(s, p, o) between classes: for each node that a result names, edges from its classes to those of its neighbours.
     Predicates with a local name in ``kept`` lead to a node of their own name, whatever their objects are."""
-    nodes = found.select(F.explode(F.array(*found.columns)).alias("s")).dropna().distinct()
+    nodes = stage(found.select(F.explode(F.array(*found.columns)).alias("s")).dropna().distinct(), "nodes")
     from_class = graph.edges(TYPE, s=nodes).select("s", F.col("o").alias("_from"))
     out = graph.triples(s=nodes).where(F.col("p") != TYPE).join(from_class, "s")
     neighbours = out.select(F.col("o").alias("s")).distinct()

@@ -167,6 +167,13 @@ class Part:
         return rows.select(self.s.term().alias("s"), self.o.term().alias("o")).dropna()
 
 
+def _prefixes(nodes: DataFrame, asked: set[str]) -> set[str]:
+    """Those of a few prefixes that some node has."""
+    names = sorted(asked)
+    flags = nodes_of(nodes).agg(*[F.max(F.col("_bound").startswith(x)).alias(f"_{k}") for k, x in enumerate(names)]).first() if names else ()
+    return {x for x, flag in zip(names, flags, strict=True) if flag}
+
+
 class TableGraph(Graph):
     """Predicates over tables: full predicate IRI to the parts whose edges, none in two of them, it has."""
 
@@ -181,8 +188,14 @@ class TableGraph(Graph):
         return self.predicates
 
     def triples(self, s: Bound = None, o: Bound = None, p: str | None = None) -> DataFrame:
-        """The tables' rows that fit, as triples; a term that no predicate's table can make reads no table."""
+        """The tables' rows that fit, as triples. Tables that cannot make the term, or any of the nodes, that an end is
+        bound to are not read; which prefixes nodes have is a row's worth of flags, found by a job over the nodes."""
         names = self.predicates if p is None else [self.full(p)]
-        made = [(name, e) for name in names for part in self.predicates.get(name, []) if (e := part.edges(s, o)) is not None]
+        parts = [(name, part) for name in names for part in self.predicates.get(name, [])]
+        for end, bound in (("s", s), ("o", o)):
+            if isinstance(bound, DataFrame):
+                there = _prefixes(bound, {getattr(part, end).prefix for _, part in parts})
+                parts = [(name, part) for name, part in parts if getattr(part, end).prefix in there]
+        made = [(name, e) for name, part in parts if (e := part.edges(s, o)) is not None]
         parts = [e.select("s", F.lit(name).alias("p"), "o") for name, e in made]
         return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "s string, p string, o string")

@@ -102,3 +102,12 @@ def test_constants_reach_the_scan(spark):
     plan = plan_of(select(g, ["p", "o"], [("customer:42", "?p", "?o")]))
     assert "EqualTo(c_custkey,42)" in plan and "EqualTo(o_custkey,42)" in plan and "lineitem" not in plan and "Exchange" not in plan
     assert "Scan" not in plan_of(select(g, ["o"], [("customer:042", f"<{VOCAB}placed>", "?o")])).replace("LocalTableScan", "").replace("Scan ExistingRDD", "")
+
+
+def test_bindings_choose_the_tables(spark):
+    """Only tables that can make a bound node are read by an open predicate."""
+    g = warehouse(spark, FOLDER)
+    found = select(g, ["s", "p", "o"], [("?s", "v:locatedIn", "nation:7"), ("?s", "?p", "?o")])
+    tables = {f.rsplit("/", 1)[1].removesuffix(".parquet") for f in found.inputFiles() if "/testdata/" in f}
+    assert tables == {"customer", "supplier", "orders", "lineitem"}
+    assert found.where("p LIKE '%placed'").count() > 0
