@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import drop, stage
 from .arrow import slices, texts
-from .tokens import TextEncoder, binary_rows, encoder, with_end
+from .tokens import binary_rows, encoder, with_end
 
 STRIDE = 256
 BLOCK_TOKENS = 1 << 16
@@ -114,11 +114,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int | None = 2, key: st
     """A stage table (part, key, start in its part, n, ids) in ascending key order within and across parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(tokenizer) as codes:
-            yield from encoded(codes, batches)
-
-    def encoded(codes: TextEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id, before = TaskContext.get().partitionId(), 0
+        codes, part_id, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 flat, counts = with_end(*codes.encode(texts(part, "_text")), end_id)

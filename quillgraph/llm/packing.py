@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 from .arrow import slices, texts
-from .tokens import TextEncoder, binary_rows, encoder, with_end
+from .tokens import binary_rows, encoder, with_end
 
 BUCKET_ROWS = 50_000
 
@@ -43,10 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     """(key, piece, start, length, ids as little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(tokenizer) as codes:
-            yield from encoded(codes, batches)
-
-    def encoded(codes: TextEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch, "_text"):
                 flat, counts = with_end(*codes.encode(texts(part, "_text")), end_id)

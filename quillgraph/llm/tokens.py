@@ -4,7 +4,8 @@ Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with speci
 text. Two common kinds of file are taken apart at places where no token can reach across, a batch's distinct
 chunks are found by Arrow, and only those are encoded:
 
-* byte-level BPE that splits as ``' ?letters| ?digits|...'``: before each space between two non-spaces;
+* byte-level BPE that splits as ``' ?letters| ?digits|...'``: before each space between two non-spaces, and between
+  plain Latin letters, digits and signs other than the apostrophe;
 * BPE on words that drops white space: at ASCII white space, or into all pieces where plain characters leave no doubt.
 
 A chunk of plain Latin characters is split by an equal pattern and goes straight to the file's BPE model; any
@@ -17,8 +18,6 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,7 @@ import pyarrow.compute as pc
 
 from .arrow import words
 
-MOST_CHUNKS = 400_000  # a task's memory; forgotten beyond it, without a change of results
-ANY_SPACE = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+MOST_CHUNKS = 500_000  # a task's memory; forgotten beyond it, without a change of results
 LATIN = re.compile(r"[\x20-\x7e\n\t\r\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 SPACED = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 UNSPACED = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -38,6 +36,23 @@ SPACED_KIND = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True
 UNSPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+ODD, SPACE, WHITE, LETTER, DIGIT, SIGN = range(6)  # classes of characters; ODD: no cut beside it but for a space's
+
+
+def _classes() -> np.ndarray:
+    """The class of each character up to U+3000, and of those beyond."""
+    out = np.zeros(0x3002, np.uint8)
+    for c in map(chr, range(0x3001)):
+        if c.isspace():
+            out[ord(c)] = SPACE if c == " " else WHITE
+        elif "!" <= c <= "~" or "\u00c0" <= c <= "\u00ff":
+            out[ord(c)] = ODD if c in "'\u00d7\u00f7" else LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN
+    return out
+
+
+CLASSES = _classes()
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -53,7 +68,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.kind = self.tokenizer.model, self._kind(json.loads(self.tokenizer.to_str()))
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.letters, self.space = str.maketrans({chr(b): c for b, c in _byte_letters().items()}), _byte_letters()[32]
         self.forget()
 
     @staticmethod
@@ -108,27 +123,24 @@ class TextEncoder:
         return row[order], code[order], chunks + rest_distinct.to_pylist()
 
     def _spaced(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        odd = pc.match_substring_regex(column, f"{ANY_SPACE} | {ANY_SPACE}").to_numpy(zero_copy_only=False)
-        rows = np.arange(len(column))
-        plain = rows[~odd]
-        lists = pc.split_pattern(column.take(pa.array(plain)), " ")
-        flat = lists.flatten()
-        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        first = np.cumsum(counts) - counts
-        coded, heads = flat.dictionary_encode(), flat.take(pa.array(first)).dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        chunks = [" " + x for x in coded.dictionary.to_pylist()]
-        code[first] = len(chunks) + heads.indices.to_numpy(zero_copy_only=False)
-        chunks += heads.dictionary.to_pylist()
-        row = np.repeat(plain, counts)
-        if not odd.any():
-            return row, code, chunks
-        parts = [re.split(r"(?<=\S)(?= \S)", column[int(k)].as_py()) for k in rows[odd]]
-        row = np.concatenate([row, np.repeat(rows[odd], [len(x) for x in parts])])
-        code = np.concatenate([code, len(chunks) + np.arange(sum(map(len, parts)))])
-        chunks += [x for each in parts for x in each]
-        order = np.argsort(row, kind="stable")
-        return row[order], code[order], chunks
+        """(text of each chunk, its index among the distinct chunks, those)."""
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))])
+        kind = CLASSES[np.minimum(cp, len(CLASSES) - 1)]
+        white = (kind == SPACE) | (kind == WHITE)
+        heads = np.ones(len(cp), bool)
+        heads[1:] = (kind[:-1] >= LETTER) & (kind[1:] >= LETTER) & (kind[:-1] != kind[1:])
+        heads[1:-1] |= (kind[1:-1] == SPACE) & ~white[:-2] & ~white[2:]
+        starts = np.searchsorted(place, bounds[:-1] - bounds[0])
+        heads[starts[starts < len(cp)]] = True
+        first = np.flatnonzero(heads)
+        offsets = np.concatenate([place[first], place[-1:]]).astype(np.int64)
+        found = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+        row = np.searchsorted(starts, first, side="right") - 1
+        coded = found.dictionary_encode()
+        return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
     def _indexes(self, chunks: list[str]) -> np.ndarray:
         known, out = self.known, np.empty(len(chunks), np.int64)
@@ -142,8 +154,11 @@ class TextEncoder:
         return out
 
     def _ids(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and self.kind == "unspaced":
-            return self._model_ids(chunk.lower())
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._model_ids(chunk if self.kind == "spaced" else chunk.lower())
+            if chunk[0] == " " and chunk[1:].isalpha() and self.kind == "spaced":
+                return self._model_ids(self.space + chunk[1:])
         if not LATIN.fullmatch(chunk):
             return array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if self.kind == "unspaced":
@@ -164,15 +179,11 @@ class TextEncoder:
 _encoders: dict[str, TextEncoder] = {}
 
 
-@contextmanager
-def encoder(path: str) -> Iterator[TextEncoder]:
-    """One encoder a worker process; a task leaves no more than the vocabulary in its memory."""
+def encoder(path: str) -> TextEncoder:
+    """One encoder a worker process."""
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
-    try:
-        yield _encoders[path]
-    finally:
-        _encoders[path].forget()
+    return _encoders[path]
 
 
 def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
