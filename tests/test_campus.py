@@ -109,5 +109,6 @@ def test_bindings_choose_the_tables(spark):
     g = warehouse(spark, FOLDER)
     found = select(g, ["s", "p", "o"], [("?s", "v:locatedIn", "nation:7"), ("?s", "?p", "?o")])
     tables = {f.rsplit("/", 1)[1].removesuffix(".parquet") for f in found.inputFiles() if "/testdata/" in f}
-    assert tables == {"customer", "supplier", "orders", "lineitem"}
+    some = spark.read.parquet(f"{FOLDER}/supplier.parquet").where("s_nationkey = 7").count() > 0
+    assert tables == {"customer", "orders"} | ({"supplier", "lineitem"} if some else set())
     assert found.where("p LIKE '%placed'").count() > 0
